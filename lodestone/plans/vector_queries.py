@@ -28,9 +28,9 @@ def _knn(metric: str, scale: float = 1.0, **options):
 
 _SIM = {
     "dot": "list_dot_product(p.v, q.v)",
-    "cosine": "list_dot_product(p.v, list_transform(q.v, x -> x / sqrt(list_dot_product(q.v, q.v))))",
+    "cosine": "list_dot_product(p.v, list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))))",
     "euclid": "-power(list_distance(p.v, q.v), 2)",
-    "manhattan": "-list_sum(list_transform(list_zip(p.v, q.v), z -> abs(z[1] - z[2])))",
+    "manhattan": "-list_sum(list_transform(list_zip(p.v, q.v), lambda z: abs(z[1] - z[2])))",
 }
 _SHOWN = {"dot": "sim", "cosine": "sim", "euclid": "sqrt(abs(sim))", "manhattan": "abs(sim)"}
 
@@ -38,7 +38,7 @@ _SHOWN = {"dot": "sim", "cosine": "sim", "euclid": "sqrt(abs(sim))", "manhattan"
 def knn_sql(metric: str, scale: float = 1.0, where: str = "true", limit: int = 10, offset: int = 0, threshold: str = "true") -> str:
     return f"""
 WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-q AS (SELECT vec_id AS qid, list_transform(v, x -> x * {scale}::DOUBLE) AS v FROM p WHERE vec_id < 5),
+q AS (SELECT vec_id AS qid, list_transform(v, lambda x: x * {scale}::DOUBLE) AS v FROM p WHERE vec_id < 5),
 s AS (SELECT qid, vec_id AS "offset", {_SIM[metric]} AS sim FROM p, q WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, "offset") AS rn FROM s)
 SELECT qid, (rn - {offset})::INTEGER AS rank, "offset", round({_SHOWN[metric]}, 6) AS score
