@@ -46,15 +46,20 @@ def _remove_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again.
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written once to the shared folder and read again, and their path for remove().
 
     Cuts the lineage and survives lost executors, as no copy sits on one machine.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """written_at() for tables that stay until the driver ends."""
+    return written_at(df, name)[0]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing
+from lodestone.llm import mixing, sharding
 
 QUERIES = {
+    "op4_kd_shards": sharding.op4_kd_shards,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
