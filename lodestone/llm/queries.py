@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, sharding
+from lodestone.llm import licenses, media, mixing, sharding
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op4_kd_shards": sharding.op4_kd_shards,
+    "op7_transport_streams": media.op7_transport_streams,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
