@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import licenses, media, mixing, sharding
+from lodestone.llm import licenses, media, mixing, sharding, topk_exact, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_kd_shards": sharding.op4_kd_shards,
+    "op5_warc_roundtrip": warc.op5_warc_roundtrip,
+    "op6_uniform_threshold": topk_exact.op6_uniform_threshold,
     "op7_transport_streams": media.op7_transport_streams,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op6_uniform_threshold": topk_exact.OP6_SQL,
     "op10_pareto_mix": mixing.OP10_SQL,
 }
