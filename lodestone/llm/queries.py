@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import licenses, media, mixing, packing, quality, sharding, topk_exact, warc
+from lodestone.llm import licenses, media, mixing, neardup, packing, quality, sharding, topk_exact, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_minimum_slack": packing.op2_minimum_slack,
+    "op3_minmax_neardup": neardup.op3_minmax_neardup,
     "op4_kd_shards": sharding.op4_kd_shards,
     "op5_warc_roundtrip": warc.op5_warc_roundtrip,
     "op6_uniform_threshold": topk_exact.op6_uniform_threshold,
