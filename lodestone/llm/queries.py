@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import licenses, media, mixing, neardup, packing, quality, sharding, topk_exact, warc
+from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, topk_exact, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc_roundtrip": warc.op5_warc_roundtrip,
     "op6_uniform_threshold": topk_exact.op6_uniform_threshold,
     "op7_transport_streams": media.op7_transport_streams,
+    "op8_induced_spans": dedup_spans.op8_induced_spans,
     "op9_cotraining": quality.op9_cotraining,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
