@@ -45,8 +45,10 @@ def uniform(doc_id: Column, seed: str) -> Column:
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """key, source_size and target per source. The windows run over one row per source.
 
-    Sorted by the level at which their ceiling is met, all sources before the
-    first whose ceiling lies above the common level stop at their ceilings.
+    Sources are sorted by the level (words per weight) at which their ceiling is
+    met. The level that would be common if all before a source stopped at their
+    ceilings rises up to the first source that stays below its own and falls
+    behind it, so the common level is the highest of these.
     """
     per = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     place = Window.orderBy("key")
@@ -57,8 +59,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(F.lit(1))
     per = per.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    per = per.withColumn("common", F.min(F.when(F.col("level") <= F.col("meets"), F.col("level"))).over(whole))
-    return per.select("key", "source_size", F.least(F.col("ceiling"), F.coalesce("common", "meets") * F.col("weight")).alias("target"))
+    per = per.withColumn("common", F.max("level").over(whole))
+    return per.select("key", "source_size", F.least(F.col("ceiling"), F.col("common") * F.col("weight")).alias("target"))
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = "mix-1:") -> DataFrame:
@@ -122,8 +124,8 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(place - 1) % 3 + 1] AS
 m AS (SELECT *, ceiling / weight AS meets FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(ceiling) OVER (ORDER BY meets, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY meets, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM m),
-c AS (SELECT *, min(CASE WHEN level <= meets THEN level END) OVER () AS common FROM l),
-t AS (SELECT k, source_size, least(ceiling, coalesce(common, meets) * weight) AS target FROM c),
+c AS (SELECT *, max(level) OVER () AS common FROM l),
+t AS (SELECT k, source_size, least(ceiling, common * weight) AS target FROM c),
 r AS (SELECT doc_id, k, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
     (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d JOIN t USING (k)),
 o AS (SELECT *, target - whole * source_size AS rest FROM r),
