@@ -2,11 +2,12 @@
 
 1 quality classifier: documents that it rejects go.
 2 near-duplicates: one document of each group stays.
-3 repeated passages: their bytes are cut out of the texts; characters stay whole.
+3 repeated passages: every byte that a repeated string of PASSAGE bytes covers is cut out of the texts; characters stay
+  whole. Passages of more than 50 words have that length; the operator's own query looks for longer ones.
 4 mixing: every document stands as often as the mix takes it.
 5 packing: the pieces of all documents with their sequences.
 
-All but the last stage return the columns of documents. A stage works on all
+All but the last stage return the columns of documents, and those alone. A stage works on all
 rows that its predecessor kept. n_chars follows the text where it is cut. A
 document of which nothing stays keeps its row, with an empty text, until mixing
 takes no words of it.
@@ -22,6 +23,11 @@ from lodestone.llm import dedup_spans, mixing, neardup, packing, quality
 from lodestone.llm.common import shared_path, small_batches
 
 
+#: Bytes. Fifty words of any of the languages take more.
+PASSAGE = 250
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -33,18 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     twice = docs.groupBy("doc_id").count().where("count > 1")
     if not twice.limit(1).count():
-        return rows
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}") for c in docs.columns])
+        return rows.select(*COLUMNS)
+    first = F.min(F.struct(*COLUMNS[1:])).alias("row")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"row.{c}") for c in COLUMNS[1:]])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    rows = dedup_spans.with_spans(docs)
+    rows = dedup_spans.with_spans(docs.select(*COLUMNS), PASSAGE)
     cut = F.pandas_udf(_cut, "string")
     text = F.when(F.col("spans").isNull(), F.col("text").cast("string")).otherwise(cut("text", "spans"))
     rows = rows.withColumn("__text", text)
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
-    return rows.withColumn("n_chars", n_chars).withColumn("text", F.col("__text")).select(*docs.columns)
+    return rows.withColumn("n_chars", n_chars).withColumn("text", F.col("__text")).select(*COLUMNS)
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -52,7 +59,7 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_documents(docs)
+    return mixing.repeat_documents(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
