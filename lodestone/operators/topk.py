@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +36,71 @@ def rank_within(df: DataFrame, group: str, order: list[Column], limit: int, offs
 
 
 def score_pairs(points: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
-    """(qid, offset, sim) of all pairs. The query batch is the small, size-checked side."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    side = F.broadcast(queries) if few else queries
-    pairs = points.crossJoin(side)
+    """(qid, offset, sim) of all pairs, for query batches that are too large to travel with the tasks.
+
+    Queries are dealt into blocks and meet the points block by block, by an equi-join on the block.
+    """
+    blocks = max(1, queries.count() // BROADCAST_QUERIES)
+    points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = points.join(queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "block").drop("block")
     return pairs.withColumn("sim", metrics.similarity(metric, F.col("vector"), F.col("q"))).drop("vector", "q")
 
 
+def _dense(column: pa.Array, dim: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != len(column) * dim:
+        raise ValueError(f"vectors must have {dim} components")
+    return flat.reshape(-1, dim)
+
+
+def _rough(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Similarities of all pairs, to find candidates by; differences are taken directly, never from squared norms."""
+    if metric in ("dot", "cosine"):
+        return q @ x.T
+    out = np.empty((len(q), len(x)))
+    for i, row in enumerate(q):
+        d = x - row
+        out[i] = -np.einsum("ij,ij->i", d, d) if metric == "euclid" else -np.abs(d).sum(axis=1)
+    return out
+
+
+def _pairwise(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Similarities of rows, the same for equal rows wherever they stand."""
+    if metric in ("dot", "cosine"):
+        return np.einsum("ij,ij->i", q, x)
+    d = q - x
+    return -np.einsum("ij,ij->i", d, d) if metric == "euclid" else -np.abs(d).sum(axis=1)
+
+
+def scored_blocks(points: DataFrame, queries: DataFrame, metric: str, keep: int, block: int = 4096) -> DataFrame:
+    """(qid, offset, sim): the best `keep` rows of each Arrow batch for each query. One scan, no shuffle before ranking.
+
+    The queries travel with the tasks, so their number must have been checked.
+    """
+    rows = queries.select("qid", F.col("q").cast("array<double>").alias("q")).toPandas()
+    if not len(rows):
+        return points.select(F.lit(None).cast("long").alias("qid"), "offset", F.lit(0.0).alias("sim")).where(F.lit(False))
+    qid, q = rows["qid"].to_numpy(), np.stack(rows["q"].to_numpy())
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                x, offsets = _dense(part.column("vector"), q.shape[1]), part.column("offset").to_numpy()
+                sim = _rough(metric, q, x)
+                n = min(keep, len(x))
+                least = np.partition(sim, len(x) - n, axis=1)[:, len(x) - n]
+                # Rows within rounding of the last one stay, so that ties are settled by exact scores and offsets.
+                qi, xi = np.nonzero(sim >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
+                exact = _pairwise(metric, q[qi], x[xi])
+                order = np.lexsort((offsets[xi], -exact, qi))
+                qi, xi, exact = qi[order], xi[order], exact[order]
+                top = np.arange(len(qi)) - np.searchsorted(qi, qi) < keep
+                yield pa.RecordBatch.from_arrays([pa.array(qid[qi[top]], pa.int64()), pa.array(offsets[xi[top]], pa.int64()), pa.array(exact[top])], ["qid", "offset", "sim"])
+
+    return points.select("offset", "vector").mapInArrow(best, "qid long, offset long, sim double")
+
+
 def knn(
     points: DataFrame,
     queries: DataFrame,
@@ -60,7 +122,12 @@ def knn(
     if where is not None:
         where = F.expr(where) if isinstance(where, str) else where
         points = points.where(F.coalesce(where, F.lit(False)))
-    scored = score_pairs(points.select("offset", "vector"), queries.select("qid", "q"), metric)
+    points, queries = points.select("offset", "vector"), queries.select("qid", "q")
+    check_window(limit, offset)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        scored = scored_blocks(points, queries, metric, limit + offset)
+    else:
+        scored = score_pairs(points, queries, metric)
     page = rank_within(scored, "qid", [F.col("sim").desc(), F.col("offset").asc()], limit, offset)
     out = page.select("qid", "rank", "offset", metrics.reported(metric, F.col("sim")).alias("score"))
     if threshold is not None:

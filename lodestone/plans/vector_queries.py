@@ -45,7 +45,15 @@ SELECT qid, (rn - {offset})::INTEGER AS rank, "offset", round({_SHOWN[metric]},
 FROM r WHERE rn > {offset} AND rn <= {offset + limit} AND {threshold}"""
 
 
+def knn_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a query: one scan scores the whole batch."""
+    p = points(spark, sf_dir)
+    queries = p.select(F.col("offset").alias("qid"), F.col("vector").alias("q"))
+    return topk.knn(p, queries, "dot", 3).select("qid", "rank", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
+    "knn_all_rows": knn_all_rows,
     "knn_dot": _knn("dot"),
     "knn_cosine": _knn("cosine", scale=2.5),
     "knn_euclid": _knn("euclid", scale=1.25),
@@ -55,6 +63,8 @@ QUERIES = {
     "knn_threshold": _knn("dot", threshold=0.3),
 }
 ORACLES = {
+    "knn_all_rows": """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, list_dot_product(p.v, q.v) AS sim FROM p, p q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC) AS rn FROM s) SELECT qid, rn::INTEGER AS rank, round(sim, 6) AS score FROM r WHERE rn <= 3""",
     "knn_dot": knn_sql("dot"),
     "knn_cosine": knn_sql("cosine", 2.5),
     "knn_euclid": knn_sql("euclid", 1.25),
