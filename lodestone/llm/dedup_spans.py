@@ -341,3 +341,17 @@ def kept_text(text: bytes, spans: list[int] | None) -> str:
 
 def op8_induced_spans(spark, sf_dir: str) -> DataFrame:
     return removed_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5_number(substr(h, 2 * s + 1, 800)) AS x FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d)),
+t AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+m AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (x)),
+g AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM m),
+i AS (SELECT r, g, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY r, g),
+k AS (SELECT r, g, b AS a, lead(a) OVER (PARTITION BY r ORDER BY g) AS b FROM i UNION ALL SELECT r, 0, 0, min(a) FROM i GROUP BY r),
+c AS (SELECT k.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY g) AS h FROM k JOIN d USING (r) GROUP BY k.r),
+n AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM i GROUP BY r)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(c.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""

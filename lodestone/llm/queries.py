@@ -17,6 +17,9 @@ QUERIES = {
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op3_minmax_neardup": neardup.OP3_SQL,
+    "op5_warc_roundtrip": warc.OP5_SQL,
+    "op8_induced_spans": dedup_spans.OP8_SQL,
     "op6_uniform_threshold": topk_exact.OP6_SQL,
     "op10_pareto_mix": mixing.OP10_SQL,
 }

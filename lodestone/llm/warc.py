@@ -201,3 +201,12 @@ def op5_warc_roundtrip(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path).drop("record_id")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT x, count(*) AS n, max(page_id) AS last FROM p GROUP BY x),
+r AS (SELECT *, n > 1 AND page_id IS DISTINCT FROM last AS again FROM p JOIN d USING (x))
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r"""
