@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: date, then optionally T, t or a blank, hours and minutes, seconds, a fraction and an offset.
-SHAPE = r"^(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+SHAPE = r"^\d{4}-\d{2}-\d{2}([Tt ]([01]\d|2[0-3]):[0-5]\d(:([0-5]\d|60)(\.\d+)?)?([Zz]|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?)?$"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def micros(text: Column) -> Column:
@@ -14,19 +19,21 @@ def micros(text: Column) -> Column:
 
     A leap second (second 60) counts as the last microseconds of its minute.
     """
-    part = lambda i: F.regexp_extract(text, SHAPE, i)
-    number = lambda i: F.when(part(i) == "", F.lit(0)).otherwise(part(i).cast("int"))
-    day = F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-MM-dd")
-    hour, minute, second = number(4), number(5), number(6)
-    fraction = F.rpad(F.substring(part(7), 1, 6), 6, "0").cast("long")
-    fraction = F.coalesce(F.when(part(7) == "", F.lit(0)).otherwise(fraction), F.lit(0))
-    zone = part(8)
-    far = F.regexp_replace(F.substring(zone, 2, 5), ":", "")
-    zone_minutes = F.when((zone == "") | F.lower(zone).isin("z"), F.lit(0)).otherwise(
-        F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1)) * (F.substring(far, 1, 2).cast("int") * 60 + F.coalesce(F.substring(F.rpad(far, 4, "0"), 3, 2).cast("int"), F.lit(0)))
-    )
-    fits = (hour < 24) & (minute < 60) & (second <= 60) & (F.abs(zone_minutes) < 24 * 60) & (F.substring(F.rpad(far, 4, "0"), 3, 2).cast("int") < 60)
-    fits = F.when((zone == "") | F.lower(zone).isin("z"), (hour < 24) & (minute < 60) & (second <= 60)).otherwise(fits)
-    whole = F.when(second == 60, F.lit(59 * 1_000_000 + 999_999)).otherwise(second * F.lit(1_000_000).cast("long") + fraction)
-    at = (F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 1440 + hour * 60 + minute - zone_minutes) * 60_000_000 + whole
-    return F.when(F.regexp_like(text, F.lit(SHAPE)) & day.isNotNull() & fits, at)
+    number = lambda t, at, n=2: F.coalesce(F.substring(t, at, n).try_cast("int"), F.lit(0))
+    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
+    minutes = number(text, 12) * 60 + number(text, 15)
+    has_seconds = F.substring(text, 17, 1) == ":"
+    second = F.when(has_seconds, number(text, 18)).otherwise(F.lit(0))
+    rest = F.when(has_seconds, F.substring(text, 20, 1000)).otherwise(F.substring(text, 17, 1000))
+
+    def behind(r: Column) -> Column:
+        """Microseconds of the fraction less those of the offset."""
+        fraction = F.regexp_extract(r, r"^\.(\d+)", 1)
+        zone = F.regexp_replace(F.regexp_extract(r, r"[+-].*$", 0), ":", "")
+        sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+        micro = F.when(second == 60, F.lit(999_999)).otherwise(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("int"))
+        return F.coalesce(micro, F.lit(0)) - _let(zone, lambda z: sign * (number(z, 2) * 60 + number(z, 4))) * F.lit(60_000_000).cast("long")
+
+    whole = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 1440 + minutes
+    at = (whole * 60 + F.least(second, F.lit(59))) * 1_000_000 + _let(rest, behind)
+    return F.when(F.regexp_like(text, F.lit(SHAPE)) & day.isNotNull(), at)

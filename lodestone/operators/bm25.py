@@ -17,12 +17,25 @@ from lodestone.functions import text as T
 from lodestone.operators.topk import rank_within
 
 
+#: Queries with up to this many distinct terms in all are broadcast; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
+
+
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, offset, tf, len
-    terms: DataFrame  # term, df
+    tokens: DataFrame  # offset, len, term: a row per token
     totals: DataFrame  # one row: n_docs, n_tokens
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, offset, tf, len."""
+        return self.tokens.groupBy("term", "offset").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
 
 def index(docs: DataFrame, stopwords: bool = False, stemming: bool = False) -> Index:
     """docs is (offset, text) or (offset, values array<string>), whose tokens follow one another."""
@@ -33,9 +46,7 @@ def index(docs: DataFrame, stopwords: bool = False, stemming: bool = False) -> I
     else:
         tokens = T.analysed(F.col("text"), stopwords, stemming)
     rows = docs.select("offset", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    each = rows.select("offset", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    postings = each.groupBy("term", "offset").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), rows.agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).alias("n_tokens")))
+    return Index(rows.select("offset", F.size("tokens").alias("len"), F.explode("tokens").alias("term")), rows.agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).alias("n_tokens")))
 
 
 def statistics(ix: Index) -> DataFrame:
@@ -50,7 +61,19 @@ def scores(ix: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75, stop
     stats = ix.totals.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
     norm = F.lit(k1) * (1 - b + b * F.col("len") / F.col("avgdl")) if b > 0 else F.lit(float(k1))
-    rows = terms.join(ix.terms, "term").join(ix.postings, "term").crossJoin(F.broadcast(stats))
+    # Only the queries' terms leave the scan: they are met before anything is counted or shuffled.
+    asked = terms.select("term").distinct()
+    few = F.broadcast if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
+    here = Index(ix.tokens.join(few(asked), "term", "left_semi"), ix.totals)
+    rows = here.postings.join(few(here.terms), "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
+    norm = F.lit(k1) * (1 - b + b * F.col("len") / F.col("avgdl")) if b > 0 else F.lit(float(k1))
+    # Only the queries' terms leave the scan: they are met before anything is counted or shuffled.
+    asked = terms.select("term").distinct()
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+    here = Index(ix.tokens.join(asked, "term", "left_semi"), ix.totals)
+    postings = here.postings.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    rows = postings.join(terms, "term").crossJoin(F.broadcast(stats))
     return rows.groupBy("qid", "offset").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
