@@ -66,14 +66,6 @@ def scores(ix: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75, stop
     few = F.broadcast if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
     here = Index(ix.tokens.join(few(asked), "term", "left_semi"), ix.totals)
     rows = here.postings.join(few(here.terms), "term").join(terms, "term").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
-    norm = F.lit(k1) * (1 - b + b * F.col("len") / F.col("avgdl")) if b > 0 else F.lit(float(k1))
-    # Only the queries' terms leave the scan: they are met before anything is counted or shuffled.
-    asked = terms.select("term").distinct()
-    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
-    here = Index(ix.tokens.join(asked, "term", "left_semi"), ix.totals)
-    postings = here.postings.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    rows = postings.join(terms, "term").crossJoin(F.broadcast(stats))
     return rows.groupBy("qid", "offset").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
