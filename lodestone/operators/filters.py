@@ -36,13 +36,13 @@ class Match:
         return _true_or_false(F.exists(reached, self.test))
 
     def test(self, v: Column) -> Column:
-        kinds = {bool: ("bool", "boolean"), int: ("integer", "bigint"), str: ("string", "string")}
+        kinds = {bool: ("BOOLEAN", "boolean"), int: ("BIGINT", "bigint"), str: ("STRING", "string")}
         tests = []
         for t, (kind, cast) in kinds.items():
             wanted = [x for x in self.values if type(x) is t]
             if wanted:
                 got = F.try_variant_get(v, "$", cast)
-                tests.append(_true_or_false((paths.kind(v) == kind) & got.isin(*wanted)))
+                tests.append(_true_or_false((F.schema_of_variant(v) == kind) & got.isin(*wanted)))
         if len([x for x in self.values if type(x) not in kinds]):
             raise InvalidArgument("match takes strings, integers or booleans")
         return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -67,7 +67,8 @@ class Range:
 
     def test(self, v: Column) -> Column:
         x = F.try_variant_get(v, "$", "double")
-        ok = paths.kind(v).isin("integer", "double") & ~F.isnan(x)
+        number = F.regexp_like(F.schema_of_variant(v), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
+        ok = number & ~F.isnan(x)
         for bound, compare in ((self.lt, x < F.lit(self.lt)), (self.gt, x > F.lit(self.gt)), (self.lte, x <= F.lit(self.lte)), (self.gte, x >= F.lit(self.gte))):
             if bound is not None:
                 above = math.isnan(bound)
@@ -89,12 +90,18 @@ class DatetimeRange:
         return _true_or_false(F.exists(paths.leaves(paths.resolve(payload, self.path)), self.test))
 
     def test(self, v: Column) -> Column:
-        x = datetimes.micros(F.try_variant_get(v, "$", "string"))
-        ok = (paths.kind(v) == "string") & x.isNotNull()
-        for bound, op in ((self.lt, lambda a, b: a < b), (self.gt, lambda a, b: a > b), (self.lte, lambda a, b: a <= b), (self.gte, lambda a, b: a >= b)):
-            if bound is not None:
-                ok = ok & op(x, datetimes.micros(F.lit(bound)))
-        return _true_or_false(ok)
+        def within(x: Column) -> Column:
+            ok = x.isNotNull()
+            for bound, op in ((self.lt, lambda a, b: a < b), (self.gt, lambda a, b: a > b), (self.lte, lambda a, b: a <= b), (self.gte, lambda a, b: a >= b)):
+                if bound is not None:
+                    if (at := datetimes.parse(bound)) is None:
+                        raise InvalidArgument(f"{bound!r} is no datetime")
+                    ok = ok & op(x, F.lit(at))
+            return ok
+
+        # Each step is computed once: the string, then its microseconds.
+        inside = datetimes.let(F.try_variant_get(v, "$", "string"), lambda t: datetimes.let(datetimes.micros(t), within))
+        return _true_or_false((F.schema_of_variant(v) == "STRING") & inside)
 
 
 @dataclass(frozen=True)
