@@ -82,7 +82,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     at, fields = 0, None
     while at < len(data):
         end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").split(" ")
+        line = str(data[at:end], "utf-8", "replace").split(" ")
         length = int(line[-1])
         body = data[end + 1 : end + 1 + length]
         if len(body) != length:
