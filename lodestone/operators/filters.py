@@ -199,7 +199,7 @@ class Filter:
 
 
 def from_json(conditions: dict | None) -> Filter:
-    """The grammar of data set conditions: {"and": [...], "or": [...]} of {field: {match | match_any | range}}."""
+    """Conditions as data sets write them: an object with the lists `and` and `or`, whose entries map a field to match, match_any or range."""
     if not conditions:
         return Filter()
     unknown = set(conditions) - {"and", "or"}

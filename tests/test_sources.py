@@ -34,7 +34,8 @@ def test_read_files(spark, tmp_path):
 
 def test_line_formats(spark, tmp_path):
     (tmp_path / "tests.jsonl").write_text(json.dumps({"query": [1.0], "conditions": None, "closest_ids": [4, 2], "closest_scores": [0.9, 0.5]}) + "\n")
-    (tmp_path / "corpus.jsonl").write_text("".join(json.dumps({"_id": i, "title": t, "text": "x"}) + "\n" for i, t in (("d1", ""), ("d2", "T"))))
+    lines = [json.dumps({"_id": i, "title": t, "text": "x"}) for i, t in (("d1", ""), ("d2", "T"))]
+    (tmp_path / "corpus.jsonl").write_text("\n".join(lines))
     (tmp_path / "qrels.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td2\t2\nq1\td9\t1\n")
     assert V.read_tests(spark, f"file://{tmp_path}/tests.jsonl").first()["closest_ids"] == [4, 2]
     corpus = V.read_corpus(spark, f"file://{tmp_path}/corpus.jsonl")
