@@ -117,7 +117,7 @@ def scan_text(text: bytes | None, index: Index) -> tuple:
     # A base phrase is the key phrase of a template, so only texts that the index gave its label can hold it.
     starts = {label: phrase_places(words, BASE[label]) for label in BASE if label in labels}
     every = sorted(i for at in starts.values() for i in at)
-    score = min(1.0, max((s for _, _, s in matches), default=0.0))
+    score = round(min(1.0, max((s for _, _, s in matches), default=0.0)), 9)
     return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(starts)), ",".join(sorted(labels)), score, matches
 
 
@@ -155,3 +155,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("matches")
+
+
+def oracle() -> str:
+    """The query in SQL: key phrases at any place, and the weighted share of their notice that stands around them."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    rows = ", ".join(f"({n}, '{label}', {quoted(key)}, {quoted(notice)}, {len(notice[: notice.index(key)].split())})" for n, (label, key, notice) in enumerate(TEMPLATES))
+    base = ", ".join(f"('{label}', {quoted(' '.join(w.decode() for w in phrase))})" for label, phrase in BASE.items())
+    return rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+t(t, label, key, notice, shift) AS (VALUES {rows}),
+v AS (SELECT DISTINCT unnest(notice) AS word FROM t),
+f AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT r, unnest(l) AS word FROM w) SEMI JOIN v USING (word) GROUP BY word),
+x AS (SELECT v.word, ln(1 + (SELECT count(*) FROM w)::DOUBLE / (1 + coalesce(df, 0))) + 1e-9 AS idf FROM v LEFT JOIN f USING (word)),
+g AS (SELECT t, sum(idf) AS weight FROM (SELECT t, unnest(notice) AS word FROM t) JOIN x USING (word) GROUP BY t),
+p AS (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM w WHERE list_has_any(l, (SELECT list(DISTINCT key[1]) FROM t))),
+m AS (SELECT r, l, i, t.* FROM p JOIN t ON l[i] = key[1] AND l[i:i + len(key) - 1] = key),
+o AS (SELECT r, t, label, i, l, notice, i - shift AS start, unnest(range(1, len(notice) + 1)) AS j FROM m),
+s AS (SELECT r, t, any_value(label) AS label, i, sum(CASE WHEN start + j - 1 >= 1 AND l[start + j - 1] = notice[j] THEN idf ELSE 0 END) / any_value(weight) AS score FROM o JOIN x ON x.word = notice[j] JOIN g USING (t) GROUP BY r, t, i),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(least(max(score), 1), 9) AS score FROM s GROUP BY r),
+b(label, key) AS (VALUES {base}),
+c AS (SELECT r, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p JOIN b ON l[i] = key[1] AND l[i:i + len(key) - 1] = key GROUP BY r)
+SELECT doc_id, len(l) AS n_words, coalesce(c.n, 0) AS n_base, c.first AS first_word, c.last AS last_word, coalesce(c.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(a.score, 0) AS score
+FROM w LEFT JOIN a USING (r) LEFT JOIN c USING (r)"""

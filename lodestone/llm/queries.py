@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op1_license_scan": licenses.oracle(),
     "op3_minmax_neardup": neardup.OP3_SQL,
     "op5_warc_roundtrip": warc.OP5_SQL,
     "op8_induced_spans": dedup_spans.OP8_SQL,
