@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -43,7 +42,6 @@ def _has_vowel(w: str) -> bool:
     return any(c in VOWELS for c in w)
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     w = word.replace("’", "'").replace("‘", "'").replace("‛", "'")
     if len(w) <= 2:
