@@ -15,13 +15,19 @@ takes no words of it.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import dedup_spans, mixing, neardup, packing, quality
 from lodestone.llm.common import shared_path, small_batches
+from lodestone.llm.dedup_spans import kept_text
 
+# Executors need no copy of this module: its functions travel with the tasks.
+register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes. Fifty words of any of the languages take more.
 PASSAGE = 250
@@ -55,7 +61,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([dedup_spans.kept_text(t, None if s is None else [int(x) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
+    return pd.Series([kept_text(t, None if s is None else [int(x) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
