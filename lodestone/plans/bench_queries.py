@@ -65,18 +65,19 @@ def arm_summary(spark, sf_dir):
     return out.select("workload", F.round("even", 6).alias("even"), F.round("odd", 6).alias("odd"))
 
 
-def _edges(spark, sf_dir, m):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(f"event_id % {m} <> 0")
+def _edges(spark, sf_dir, without):
+    """One build's edges: those of all events but one type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") != without)
     return e.select((F.col("event_id") % 2).alias("level"), (F.col("user_id") % 40).alias("u"), (F.col("event_id") % 97).alias("v")).distinct()
 
 
 def edge_jaccard(spark, sf_dir):
-    out = benchfold.edge_jaccard(_edges(spark, sf_dir, 3), _edges(spark, sf_dir, 5))
+    out = benchfold.edge_jaccard(_edges(spark, sf_dir, "click"), _edges(spark, sf_dir, "view"))
     return out.select("level", "common", "only_a", "only_b", F.round("jaccard", 9).alias("jaccard"))
 
 
 def edge_difference_histogram(spark, sf_dir):
-    a, b = (_edges(spark, sf_dir, m).where("level = 0") for m in (3, 5))
+    a, b = (_edges(spark, sf_dir, t).where("level = 0") for t in ("click", "view"))
     return benchfold.difference_histogram(a, b)
 
 
@@ -87,13 +88,13 @@ def loss_against_best(spark, sf_dir):
 
 
 def code_runs(spark, sf_dir):
-    return benchfold.runs_of(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 < 7"), "o_orderkey")
+    return benchfold.runs_of(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'"), "o_orderkey")
 
 
 _PASSES = "m AS (SELECT event_type AS workload, user_id % 5 AS slot, event_id % 3 AS pass, round(avg(value), 6) AS value FROM events GROUP BY ALL)"
 _FOLD = _PASSES + """, f AS (SELECT workload, slot, CASE WHEN count(value) = 3 THEN median(value) END AS median, CASE WHEN count(value) >= 3 AND avg(value) <> 0 THEN stddev_samp(value) / avg(value) END AS rsd, count(value) AS passes FROM m GROUP BY ALL)"""
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in rows)
-_EDGE = """a AS (SELECT DISTINCT event_id % 2 AS level, user_id % 40 AS u, event_id % 97 AS v FROM events WHERE event_id % 3 <> 0), b AS (SELECT DISTINCT event_id % 2 AS level, user_id % 40 AS u, event_id % 97 AS v FROM events WHERE event_id % 5 <> 0),
+_EDGE = """a AS (SELECT DISTINCT event_id % 2 AS level, user_id % 40 AS u, event_id % 97 AS v FROM events WHERE event_type <> 'click'), b AS (SELECT DISTINCT event_id % 2 AS level, user_id % 40 AS u, event_id % 97 AS v FROM events WHERE event_type <> 'view'),
 j AS (SELECT coalesce(a.level, b.level) AS level, coalesce(a.u, b.u) AS u, a.u IS NOT NULL AS ia, b.u IS NOT NULL AS ib FROM a FULL JOIN b ON a.level = b.level AND a.u = b.u AND a.v = b.v)"""
 
 QUERIES = {
@@ -121,5 +122,5 @@ SELECT run, count(*) AS n, CASE WHEN count(*) >= 2 AND max(s) > min(s) THEN roun
     "edge_difference_histogram": f"WITH {_EDGE}, d AS (SELECT u, count(*) FILTER (NOT (ia AND ib)) AS d FROM j WHERE level = 0 GROUP BY u) SELECT least(d, 32) AS bucket, count(*) AS nodes FROM d GROUP BY ALL",
     "loss_against_best": """WITH r AS (SELECT event_id % 3 AS build, user_id AS qid, count(*) AS hits FROM events GROUP BY ALL), x AS (SELECT *, max(hits) OVER (PARTITION BY qid) AS best FROM r)
 SELECT build, count(*) FILTER (hits < best) AS worse, sum(best - hits)::BIGINT AS lost FROM x GROUP BY build""",
-    "code_runs": """WITH x AS (SELECT DISTINCT o_orderkey AS x FROM orders WHERE o_orderkey % 10 < 7), i AS (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM x) SELECT min(x) AS first, max(x) AS last FROM i GROUP BY g""",
+    "code_runs": """WITH x AS (SELECT DISTINCT o_orderkey AS x FROM orders WHERE o_orderstatus = 'F'), i AS (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM x) SELECT min(x) AS first, max(x) AS last FROM i GROUP BY g""",
 }

@@ -8,7 +8,7 @@ from lodestone.operators import bm25, datatypes, evaluate, graphs, metrics, topk
 from lodestone.plans import text_queries
 from lodestone.plans.evaluation_queries import _coded, _truth
 from lodestone.plans.payload_queries import event_log
-from lodestone.plans.vector_queries import first_queries, knn_sql, points
+from lodestone.plans.vector_queries import stated_queries, knn_sql, points
 
 
 def full_scan_live(spark, sf_dir):
@@ -27,14 +27,14 @@ def idempotent_upsert(spark, sf_dir):
 
 def filter_subsetting(spark, sf_dir):
     """Every filtered answer holds ids that pass, and none that a wider unfiltered page would have ranked away."""
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     narrow = topk.knn(p, q, "dot", 5, where="label < 3")
     wide = topk.knn(p, q, "dot", 2000).join(p.where("label < 3").select("offset"), "offset", "left_semi")
     return narrow.join(wide, ["qid", "offset"], "left_anti").agg(F.count("*").alias("differences"))
 
 
 def offset_consistency(spark, sf_dir):
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     page = topk.knn(p, q, "dot", 5, 5).withColumn("rank", F.col("rank") + 5)
     return page.exceptAll(topk.knn(p, q, "dot", 10)).agg(F.count("*").alias("differences"))
 
@@ -42,14 +42,14 @@ def offset_consistency(spark, sf_dir):
 def value_equality(spark, sf_dir):
     """Returned scores against the scores of the same ids computed anew."""
     got = _truth(spark, sf_dir)
-    again = evaluate.rescore(got, points(spark, sf_dir), first_queries(spark, sf_dir), "dot")
+    again = evaluate.rescore(got, points(spark, sf_dir), stated_queries(spark, sf_dir), "dot")
     return got.join(again.withColumnRenamed("score", "exact"), ["qid", "id"]).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("score") - F.col("exact"))) < 1e-6).alias("equal"))
 
 
 def rescored_ids(spark, sf_dir):
     """Exact scores of given ids; none for ids that are not there."""
     ids = _coded(spark, sf_dir).withColumn("id", F.when(F.col("rank") == 10, F.lit(10**9)).otherwise(F.col("id"))).select("qid", "id")
-    return evaluate.rescore(ids, points(spark, sf_dir), first_queries(spark, sf_dir), "dot").select("qid", "id", F.round("score", 6).alias("score"))
+    return evaluate.rescore(ids, points(spark, sf_dir), stated_queries(spark, sf_dir), "dot").select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def shipped_truth(spark, sf_dir):
@@ -143,8 +143,8 @@ def perf_without_conformance(spark, sf_dir):
     """Measurements whose configuration has no passing check: an anti join by digest."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     digest = F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string")), 256)
-    perf = e.where("event_id % 2 = 0").select("event_id", digest.alias("config"))
-    return perf.join(e.where("event_id % 17 = 0").select(digest.alias("config")).distinct(), "config", "left_anti").select("event_id")
+    checked = e.where("value > 100").select(digest.alias("config")).distinct()
+    return e.select("event_id", digest.alias("config")).join(checked, "config", "left_anti").select("event_id")
 
 
 _ZERO = "SELECT 0::BIGINT AS differences"
@@ -163,8 +163,8 @@ ORACLES = {
     "filter_subsetting": _ZERO,
     "offset_consistency": _ZERO,
     "bm25_filter_narrows": _ZERO,
-    "value_equality": "SELECT 50::BIGINT AS n, true AS equal",
-    "shipped_truth": "SELECT vec_id AS qid, 'exact' AS verdict FROM embeddings WHERE vec_id < 5",
+    "value_equality": "SELECT 10 * count(*) AS n, true AS equal FROM embeddings WHERE vec_id % 50 = 0",
+    "shipped_truth": "SELECT vec_id AS qid, 'exact' AS verdict FROM embeddings WHERE vec_id % 50 = 0",
     "truth_from_tests": f"""SELECT qid, rank, "offset" AS id, score FROM ({knn_sql('dot')})""",
     "normalised_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3.5) AS v FROM embeddings) SELECT vec_id AS "offset", 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v""",
     "uint8_vectors": """SELECT vec_id AS "offset", array_to_string(list_transform(embedding, lambda x: trunc(least(greatest(x::DOUBLE * 900, 0), 255))::INTEGER), ',') AS code FROM embeddings""",
@@ -175,5 +175,5 @@ ORACLES = {
     "graph_in_degree_zero": f"WITH {_G} SELECT count(*) AS n FROM range(90) t(u) WHERE u NOT IN (SELECT v FROM g)",
     "worse_query_overlap": """WITH r AS (SELECT event_id % 3 AS b, user_id AS q, count(*) AS h FROM events GROUP BY ALL), x AS (SELECT *, max(h) OVER (PARTITION BY q) AS best FROM r),
 w AS (SELECT q, max(b = 0) AS a, max(b = 1) AS c FROM x WHERE h < best GROUP BY q) SELECT round(CASE WHEN count(*) FILTER (a OR c) = 0 THEN 1 ELSE count(*) FILTER (a AND c) / count(*) FILTER (a OR c) END, 9) AS jaccard FROM w""",
-    "perf_without_conformance": """WITH e AS (SELECT event_id, sha256(event_type || ':' || user_id) AS c FROM events) SELECT event_id FROM e WHERE event_id % 2 = 0 AND c NOT IN (SELECT c FROM e WHERE event_id % 17 = 0)""",
+    "perf_without_conformance": """WITH e AS (SELECT event_id, value, sha256(event_type || ':' || user_id) AS c FROM events) SELECT event_id FROM e WHERE c NOT IN (SELECT c FROM e WHERE value > 100)""",
 }

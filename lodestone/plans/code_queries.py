@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import ann, quantize, topk
 from lodestone.operators.quantize import Scalar
-from lodestone.plans.vector_queries import first_queries, knn_sql, points
+from lodestone.plans.vector_queries import stated_queries, knn_sql, points
 
 DIM = 64
 FIXED = Scalar(-0.5, 0.5)
@@ -29,7 +29,7 @@ def sq8_bounds(spark, sf_dir):
 def _sq8(metric="dot", **options):
     def run(spark, sf_dir):
         coded = points(spark, sf_dir).select("offset", FIXED.encode(F.col("vector")).alias("code"))
-        q = first_queries(spark, sf_dir).withColumn("qcode", FIXED.encode(F.col("q")))
+        q = stated_queries(spark, sf_dir).withColumn("qcode", FIXED.encode(F.col("q")))
         out = quantize.two_stage(coded, points(spark, sf_dir), q, FIXED.similarity(metric, F.col("code"), F.col("qcode"), DIM), metric, 10, **options)
         return out.select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
@@ -45,7 +45,7 @@ def _binary(bits=1, **options):
             mean, std = ([stats[d][c] for d in range(len(stats))] for c in ("mean", "std"))
         code = lambda c: quantize.packed(quantize.binary_bits(F.col(c), bits, mean, std))
         coded = p.select("offset", code("vector").alias("code"))
-        q = first_queries(spark, sf_dir).withColumn("qcode", code("q"))
+        q = stated_queries(spark, sf_dir).withColumn("qcode", code("q"))
         out = quantize.two_stage(coded, p, q, quantize.binary_similarity(F.col("code"), F.col("qcode"), DIM), "dot", 10, **options)
         return out.select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
@@ -54,25 +54,25 @@ def _binary(bits=1, **options):
 
 def pq_knn(spark, sf_dir):
     p = points(spark, sf_dir)
-    return quantize.product_search(p, first_queries(spark, sf_dir), quantize.fit_product(p, 16, 64), "dot", 10, 8.0)
+    return quantize.product_search(p, stated_queries(spark, sf_dir), quantize.fit_product(p, 16, 64), "dot", 10, 8.0)
 
 
 def turbo_knn(spark, sf_dir):
     p = points(spark, sf_dir)
-    return quantize.rotation_search(p, first_queries(spark, sf_dir), quantize.fit_rotation(p, 4), "dot", 10)
+    return quantize.rotation_search(p, stated_queries(spark, sf_dir), quantize.fit_rotation(p, 4), "dot", 10)
 
 
 def ivf_knn(spark, sf_dir):
-    return ann.search(ann.build(points(spark, sf_dir)), first_queries(spark, sf_dir), "dot", 10, probes=8)
+    return ann.search(ann.build(points(spark, sf_dir)), stated_queries(spark, sf_dir), "dot", 10, probes=8)
 
 
 def ivf_knn_filtered(spark, sf_dir):
-    return ann.search(ann.build(points(spark, sf_dir)), first_queries(spark, sf_dir), "dot", 10, probes=16, where="label = 3").select("qid", "rank", "offset", F.round("score", 6).alias("score"))
+    return ann.search(ann.build(points(spark, sf_dir)), stated_queries(spark, sf_dir), "dot", 10, probes=16, where="label = 3").select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
 
 def knn_delta_tail(spark, sf_dir):
     """The rows since the last build are scanned whole and merged with the others' answer."""
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     old, new = (topk.knn(p.where(c), q, "dot", 10) for c in ("offset % 10 <> 9", "offset % 10 = 9"))
     both = old.unionByName(new).drop("rank")
     return topk.rank_within(both, "qid", [F.col("score").desc(), F.col("offset").asc()], 10).select("qid", "rank", "offset", F.round("score", 6).alias("score"))
@@ -81,16 +81,14 @@ def knn_delta_tail(spark, sf_dir):
 def label_knn_vote(spark, sf_dir):
     """The majority label of each query's ten neighbours, the smallest of equals."""
     p = points(spark, sf_dir)
-    found = topk.knn(p, first_queries(spark, sf_dir), "dot", 10).join(p.select("offset", "label"), "offset")
+    found = topk.knn(p, stated_queries(spark, sf_dir), "dot", 10).join(p.select("offset", "label"), "offset")
     votes = found.groupBy("qid", "label").agg(F.count("*").alias("votes"))
     return topk.rank_within(votes, "qid", [F.col("votes").desc(), F.col("label").asc()], 1).select("qid", "label", "votes")
 
 
 def self_retrieval(spark, sf_dir):
-    """Every stored vector must find itself first."""
-    p = points(spark, sf_dir)
-    q = first_queries(spark, sf_dir, 50)
-    return topk.knn(p, q, "dot", 1).select("qid", (F.col("offset") == F.col("qid")).alias("found"))
+    """A stored vector finds itself first, or an equal one that came before it."""
+    return topk.knn(points(spark, sf_dir), stated_queries(spark, sf_dir), "dot", 1).select("qid", (F.col("offset") == F.col("qid")).alias("found"))
 
 
 _CODE = "list_transform({v}, lambda x: least(greatest(round((x::DOUBLE + 0.5) / (1.0::DOUBLE / 255)), 0), 255))"
@@ -104,7 +102,7 @@ def _sq8_sql(rescore: bool, pool: int, metric: str = "dot") -> str:
     }[metric]
     exact = "list_dot_product(p.v, q.v)" if metric == "dot" else "-power(list_distance(p.v, q.v), 2)"
     shown = "sim" if metric == "dot" else "sqrt(abs(sim))"
-    base = f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, {_CODE.format(v='embedding')} AS c FROM embeddings), q AS (SELECT vec_id AS qid, v, c FROM p WHERE vec_id < 5),
+    base = f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, {_CODE.format(v='embedding')} AS c FROM embeddings), q AS (SELECT vec_id AS qid, v, c FROM p WHERE vec_id % 50 = 0),
 s AS (SELECT qid, vec_id AS "offset", {sim} AS sim, {exact} AS ex FROM p, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, "offset") AS rn FROM s)"""
     if not rescore:
         return base + """ SELECT qid, rn::INTEGER AS rank, "offset", round(sim, 6) AS score FROM r WHERE rn <= 10"""
@@ -113,7 +111,7 @@ SELECT qid, rn::INTEGER AS rank, "offset", round({shown}, 6) AS score FROM t WHE
 
 
 def _binary_sql(rescore: bool, pool: int) -> str:
-    base = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS c FROM embeddings), q AS (SELECT vec_id AS qid, v, c FROM p WHERE vec_id < 5),
+    base = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS c FROM embeddings), q AS (SELECT vec_id AS qid, v, c FROM p WHERE vec_id % 50 = 0),
 s AS (SELECT qid, vec_id AS "offset", (64 - 2 * list_sum(list_transform(list_zip(p.c, q.c), lambda z: abs(z[1] - z[2]))))::DOUBLE AS sim, list_dot_product(p.v, q.v) AS ex FROM p, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, "offset") AS rn FROM s)"""
     if not rescore:
@@ -155,5 +153,5 @@ r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM x) SELECT round(min
     "knn_delta_tail": knn_sql("dot"),
     "label_knn_vote": """WITH k AS (""" + knn_sql("dot") + """), v AS (SELECT qid, label, count(*) AS votes FROM k JOIN embeddings ON vec_id = "offset" GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS n FROM v) SELECT qid, label, votes FROM r WHERE n = 1""",
-    "self_retrieval": "SELECT vec_id AS qid, true AS found FROM embeddings WHERE vec_id < 50",
+    "self_retrieval": f"""SELECT qid, "offset" = qid AS found FROM ({knn_sql('dot', limit=1)})""",
 }

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, evaluate, topk
 from lodestone.plans import code_queries, text_queries
-from lodestone.plans.vector_queries import first_queries, knn_sql, points
+from lodestone.plans.vector_queries import stated_queries, knn_sql, points
 
 
 def _truth(spark, sf_dir, limit=10):
-    out = topk.knn(points(spark, sf_dir), first_queries(spark, sf_dir), "dot", limit)
+    out = topk.knn(points(spark, sf_dir), stated_queries(spark, sf_dir), "dot", limit)
     return out.select("qid", "rank", F.col("offset").alias("id"), F.round("score", 6).alias("score"))
 
 
@@ -86,7 +86,7 @@ def cross_arm_spread(spark, sf_dir):
 
 
 def filtered_truth(spark, sf_dir):
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     allowed = p.where("label % 5 = 2").select("offset").crossJoin(F.broadcast(q.select("qid")))
     t, n = evaluate.filtered_truth(p, q, allowed, "dot", 10)
     return t.join(n, "qid").select("qid", "rank", "id", F.round("score", 6).alias("score"), "n_matching")
@@ -103,14 +103,14 @@ def quantization_dominance(spark, sf_dir):
 
 def query_order_invariance(spark, sf_dir):
     """The same answers whatever order points come in."""
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     a, b = (topk.knn(x, q, "dot", 10) for x in (p, p.repartition(5, "label").orderBy(F.col("offset").desc())))
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
 
 
 def prefix_property(spark, sf_dir):
     """The first five of ten are the five."""
-    p, q = points(spark, sf_dir), first_queries(spark, sf_dir)
+    p, q = points(spark, sf_dir), stated_queries(spark, sf_dir)
     return topk.knn(p, q, "dot", 10).where("rank <= 5").exceptAll(topk.knn(p, q, "dot", 5)).agg(F.count("*").alias("differences"))
 
 
@@ -128,7 +128,7 @@ QUERIES = {
 }
 ORACLES = {
     "recall_at_k": f"WITH {_T}, {_B}, {_HITS} SELECT qid, 10::BIGINT AS available, hits, 0::BIGINT AS impossible, round(hits / 10.0::DOUBLE, 9) AS recall FROM h",
-    "wilson_interval": f"""WITH {_T}, {_B}, {_HITS}, x AS (SELECT sum(hits) / 50.0::DOUBLE AS p, 50.0::DOUBLE AS n FROM h),
+    "wilson_interval": f"""WITH {_T}, {_B}, {_HITS}, x AS (SELECT sum(hits) / (10.0::DOUBLE * count(*)) AS p, 10.0::DOUBLE * count(*) AS n FROM h),
 y AS (SELECT (p + {_P} * {_P} / (2 * n)) / (1 + {_P} * {_P} / n) AS m, {_P} / (1 + {_P} * {_P} / n) * sqrt(p * (1 - p) / n + {_P} * {_P} / (4 * n * n)) AS h FROM x)
 SELECT round(greatest(m - h, 0), 9) AS low, round(least(m + h, 1), 9) AS high FROM y""",
     "mrde": f"WITH {_T}, {_S} SELECT qid, round(avg(CASE WHEN abs(t.score) < 1e-12 THEN abs(s.score) ELSE abs(s.score - t.score) / abs(t.score) END), 6) AS mrde FROM t JOIN s USING (qid, rank) GROUP BY qid",

@@ -83,7 +83,7 @@ def delete_tombstones(spark, sf_dir):
 
 
 def set_payload_merge(spark, sf_dir):
-    points = writes.merge_log(event_log(spark, sf_dir)).where("point_id < 50")
+    points = writes.merge_log(event_log(spark, sf_dir))
     points = points.select("point_id", "deleted", F.create_map(F.lit("type"), "event_type", F.lit("v"), F.col("value").cast("string")).alias("payload"))
     changes = points.where("point_id % 3 = 0").select("point_id", F.create_map(F.lit("type"), F.lit("set"), F.lit("n"), F.lit("1")).alias("change"))
     out = writes.set_payload(points, changes)
@@ -124,7 +124,7 @@ ORACLES = {f"filter_{n}": _sql(w) for n, (_, w) in _FILTERS.items()} | {
     "upsert_last_write": _LAST + """ SELECT point_id, "offset", event_type, value FROM p""",
     "upsert_over_existing": _LAST + """ SELECT point_id, "offset", event_type, value, (point_id % 7 = 0 AND seq < 400) AS deleted FROM p""",
     "delete_tombstones": _LAST + """ SELECT point_id, "offset" FROM p WHERE point_id % 7 <> 0""",
-    "set_payload_merge": _LAST + """ SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'set' ELSE event_type END AS type, CASE WHEN point_id % 3 = 0 THEN '1' END AS n, value IS NOT NULL AS has_v FROM p WHERE point_id < 50""",
+    "set_payload_merge": _LAST + """ SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'set' ELSE event_type END AS type, CASE WHEN point_id % 3 = 0 THEN '1' END AS n, value IS NOT NULL AS has_v FROM p""",
     "collection_info": _LAST + """ SELECT count(*) FILTER (point_id % 7 <> 0) AS points_count, count(*) FILTER (point_id % 7 = 0) AS deleted_count, count(*) AS indexed_count, 'green' AS status FROM p""",
     "scroll_page": _scroll_sql("o_orderkey >= 100", 25),
     "scroll_filtered": _scroll_sql("o_orderkey >= 50 AND o_orderstatus = 'F' AND o_totalprice > 100000", 20),

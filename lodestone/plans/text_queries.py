@@ -1,4 +1,4 @@
-"""BM25 queries: documents ranked for the first words of benchmark passages."""
+"""BM25 queries: documents ranked for benchmark passages."""
 
 from __future__ import annotations
 
@@ -13,9 +13,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("offset"), "text", "lang")
 
 
-def passages(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 10")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.words(F.col("text")), 1, n), " ").alias("text"))
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
 
 
 def _run(stopwords: bool = False, stemming: bool = False, lang: str | None = None, repeat: bool = False, **options):
@@ -35,11 +34,11 @@ def text_stats(spark, sf_dir):
 
 
 def document_frequencies(spark, sf_dir):
-    return bm25.index(corpus(spark, sf_dir)).terms.where("df >= 20")
+    return bm25.index(corpus(spark, sf_dir)).terms
 
 
 def term_frequencies(spark, sf_dir):
-    return bm25.index(corpus(spark, sf_dir)).postings.where("tf >= 30").select("term", "offset", F.col("tf"), F.col("len").cast("long").alias("len"))
+    return bm25.index(corpus(spark, sf_dir)).postings.select("term", "offset", F.col("tf"), F.col("len").cast("long").alias("len"))
 
 
 def vocabulary_stems(spark, sf_dir):
@@ -73,7 +72,7 @@ def _sql(stop: bool = False, lang: str | None = None, k1: float = 1.2, b: float
     keep = f"AND term NOT IN ({listed})" if stop else ""
     only = f"""WHERE "offset" IN (SELECT doc_id FROM documents WHERE lang = '{lang}')""" if lang else ""
     return _cte(stop) + rf""",
-q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_W}')[1:8]) AS term FROM benchmark WHERE item_id < 10) WHERE true {keep}),
+q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS term FROM benchmark) WHERE true {keep}),
 s AS (SELECT qid, p."offset", sum(greatest(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 0) * tf * ({k1}::DOUBLE + 1) / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * len / (n_tokens / n_docs)))) AS score
     FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING ("offset"), t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, "offset") AS rank FROM s {only})
@@ -102,7 +101,7 @@ ORACLES = {
     "bm25_b_zero": _sql(b=0.0),
     "bm25_k_zero": _sql(k1=0.0),
     "text_stats": _cte() + " SELECT n_docs, n_tokens, round(n_tokens / n_docs, 6) AS avgdl FROM t",
-    "document_frequencies": _cte() + " SELECT term, df FROM f WHERE df >= 20",
-    "term_frequencies": _cte() + """ SELECT term, "offset", tf, len FROM p JOIN d USING ("offset") WHERE tf >= 30""",
+    "document_frequencies": _cte() + " SELECT term, df FROM f",
+    "term_frequencies": _cte() + """ SELECT term, "offset", tf, len FROM p JOIN d USING ("offset")""",
     "folded_queries": r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark",
 }
