@@ -10,7 +10,8 @@ date in ISO form, the record type and the digest of the payload.
 Of records with equal payloads the one with the largest page_id is a response,
 the others are revisits that refer to it. Archives are gzip files in the shared
 folder, written by Spark's own writer (page texts are UTF-8), at most
-PER_FILE records each, and are read back by their declared lengths.
+PER_FILE records each, and are read back by their declared lengths, one record
+after the other as they are unpacked.
 
 Null html is an empty payload, a null url an empty one; payloads shorter than
 min_bytes are always responses. Rows that repeat a page whole are each written;
@@ -20,12 +21,14 @@ if the largest page_id stands there twice, both are responses.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,21 +126,22 @@ def to_warc(r: ArcRecord, page_id, refers_to) -> str:
     return "\r\n".join(head) + END + block.decode()
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def read_warc(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an uncompressed archive; no more than one record is held at a time."""
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("a WARC record begins with its version")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+        head = {}
+        while (line := file.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a WARC record has no end of its headers")
+            name, value = line.decode().removesuffix("\r\n").split(": ", 1)
+            head[name] = value
         n = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        block = file.read(n)
+        if len(block) != n or file.read(4) != b"\r\n\r\n":
             raise ValueError("a WARC record is shorter than it declares")
         yield head, block
-        at = end + 8 + n
 
 
 INFO = "\r\n".join(["WARC/1.0", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:00000000-0000-5000-8000-000000000000>", "WARC-Date: 1996-09-23T14:21:03Z", "Content-Type: application/warc-fields", "Content-Length: 0"]) + END
@@ -172,23 +176,23 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
+_ROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())])
+
+
 def _read(batches):
     for batch in batches:
         for blob in batch.column("content").to_pylist():
-            cols = [[] for _ in range(6)]
-            for head, block in read_warc(zlib.decompress(blob, 47)):
-                if head["WARC-Type"] == "warcinfo":
-                    continue
-                sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                if head["WARC-Type"] == "response" and (digest(block) != sha or len(block) != int(head["Page-Payload-Length"])):
-                    raise ValueError("a payload's digest is wrong")
-                refers = head.get("Page-Refers-To")
-                row = (int(head["Page-Id"]) if head["Page-Id"] else None, int(head["Page-Payload-Length"]), sha, head["WARC-Type"], int(refers) if refers else None, head["WARC-Record-ID"])
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            rows = []
+            with gzip.open(io.BytesIO(blob)) as file:
+                for head, block in read_warc(file):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
+                    sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if head["WARC-Type"] == "response" and (digest(block) != sha or len(block) != int(head["Page-Payload-Length"])):
+                        raise ValueError("a payload's digest is wrong")
+                    refers = head.get("Page-Refers-To")
+                    rows.append((int(head["Page-Id"]) if head["Page-Id"] else None, int(head["Page-Payload-Length"]), sha, head["WARC-Type"], int(refers) if refers else None, head["WARC-Record-ID"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
 
 
 def read_archives(spark, path: str) -> DataFrame:
