@@ -11,7 +11,8 @@ blocks, and each pair of blocks is one cell.
    cutoff / SEGMENTS cannot reach the cutoff, so only the other rows are
    collected.
 3. The remaining local scores of those rows are resolved exactly, and the rows
-   that reach the cutoff are ranked, ties to the smaller id.
+   that reach the cutoff are ranked, ties to the smaller id. A cell hands on no
+   more than the k first of a query, so that many equal vectors stay few rows.
 
 Null vectors and those that hold null or non-finite components take no part;
 shorter vectors count as if zeros followed. Rows with a query's own id are no
@@ -87,7 +88,7 @@ def _gather(k: int, key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
     return pa.table({"query_id": qids[qi[keep]], "score": score[keep]}, schema)
 
 
-def _resolve(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+def _resolve(k: int, key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
     """Phases 2 and 3: rows with a local score that reaches its share of the cutoff, then their whole scores."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     if not rows.num_rows or not queries.num_rows:
@@ -102,7 +103,11 @@ def _resolve(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
     qi, ri = np.nonzero(enough)
     score = sum(s[qi, ri] for s in local).astype(np.int64)
     keep = (score >= cutoff[qi]) & (ids[ri] != qids[qi])
-    return pa.table({"query_id": qids[qi[keep]], "vec_id": ids[ri[keep]], "score": score[keep]}, schema)
+    qi, ids, score = qi[keep], ids[ri[keep]], score[keep]
+    order = np.lexsort((ids, -score, qi))
+    qi, ids, score = qi[order], ids[order], score[order]
+    first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return pa.table({"query_id": qids[qi[first]], "vec_id": ids[first], "score": score[first]}, schema)
 
 
 def _cells(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int):
@@ -125,7 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     cutoffs = heads.withColumn("rn", F.row_number().over(by)).where(F.col("rn") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     queries = written(queries.join(cutoffs, "vec_id", "left"), "topk-cutoffs")
-    found = _cells(vectors, queries, n, nq).applyInArrow(_resolve, "query_id long, vec_id long, score long")
+    found = _cells(vectors, queries, n, nq).applyInArrow(lambda key, a, b: _resolve(k, key, a, b), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
