@@ -17,7 +17,11 @@ with SPAN - o on its right.
    anchor by external induced sorting (suffixes.py), rightwards from the anchor
    and leftwards from it, common prefixes carried along. Neighbours' common
    prefixes decide each window exactly.
-4. The covered runs of a document are merged and cut out.
+4. An anchor with more than HOT contexts (a line that stands in a third of all
+   rows, each time among other words) is not sorted in one task. Every window
+   holds the half of its length on one side of the anchor, so contexts whose
+   half no other has are done; the windows of the rest are counted by hash.
+5. The covered runs of a document are merged and cut out.
 
 Null texts are empty; texts shorter than SPAN lose nothing. Matches never cross
 documents; overlaps and repeats inside a document count. Rows that repeat a
@@ -31,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import remove, small_batches, written_at
@@ -41,6 +45,8 @@ SPAN, GRAM = 400, 32
 SLICE = (1 << 20) - 2 * SPAN  # windows hashed at once; their places fit in 20 bits
 PAIRWISE = 48
 FLUSH = 4000  # contexts sorted together
+HOT = 4000  # contexts of one anchor that one task sorts
+STRIDE = 8192  # window starts that are merged together
 #: Per-document lists up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -244,6 +250,69 @@ def _decide(span: int, batches):
         yield done
 
 
+def _digest_words(data: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def _halves(span: int, batches):
+    """The contexts of hot anchors, cut into the windows left and right of the middle, with the hash of what all of them hold."""
+    middle = span // 2
+    names = ["p1", "p2", "k1", "k2", "start", "single", "bytes"]
+    for batch in batches:
+        cols: list[list] = [[] for _ in names]
+        for text, k1, k2, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "wanted")), strict=True):
+            for w in wanted:
+                at, low, high = w["at"], w["at"] - w["last"], w["at"] - w["first"]
+                for side, a, b in ((b"r", low, min(high, middle)), (b"l", max(low, middle + 1), high)):
+                    if a > b:
+                        continue
+                    held = text[at : at + span - middle] if side == b"r" else text[at - middle - 1 : at + GRAM]
+                    for c, v in zip(cols, (*_digest_words(side + held), k1, k2, at - b, w["single"], text[at - b : at - a + span]), strict=True):
+                        c.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def _windows(span: int, batches):
+    names = ["w1", "w2", "k1", "k2", "start", "single"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            cols: list[list] = [[] for _ in names]
+            part = batch.slice(at, 200)
+            for k1, k2, start, single, data in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "start", "single", "bytes")), strict=True):
+                for i in range(len(data) - span + 1):
+                    for c, v in zip(cols, (*_digest_words(data[i : i + span]), k1, k2, start + i, single), strict=True):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def _window_runs(span: int, batches):
+    for batch in batches:
+        rows = []
+        for k1, k2, starts in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "starts")), strict=True):
+            first = np.array(starts, np.int64)
+            rows += [(k1, k2, int(a), int(b)) for a, b in zip(*merged(first, first + span), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "first", "last"])
+
+
+def _hot_runs(source: DataFrame, wanted: DataFrame, span: int, paths: list[str]) -> DataFrame:
+    """Runs of repeated bytes of the single contexts of hot anchors. Groups are counted, never gathered; their joins can be split."""
+    halves = _beside(source, wanted, "inner").mapInArrow(lambda b: _halves(span, b), "p1 long, p2 long, k1 long, k2 long, start int, single boolean, bytes binary")
+    halves, path = written_at(halves, "hot-halves")
+    paths.append(path)
+    met = halves.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2")
+    rows = halves.join(met, ["p1", "p2"], "left_semi").mapInArrow(lambda b: _windows(span, b), "w1 long, w2 long, k1 long, k2 long, start int, single boolean")
+    rows, path = written_at(rows, "hot-windows")
+    paths.append(path)
+    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    hits = rows.where("single").join(twice, ["w1", "w2"], "left_semi")
+    parts = hits.groupBy("k1", "k2", F.floor(F.col("start") / STRIDE).alias("part")).agg(F.collect_list("start").alias("starts"))
+    return parts.mapInArrow(lambda b: _window_runs(span, b), "k1 long, k2 long, first int, last int")
+
+
 def _merge_runs(batches):
     for batch in batches:
         out = []
@@ -266,29 +335,46 @@ def _beside(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(lists, ["k1", "k2"], how)
 
 
+def _shared_anchors(anchors: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of anchors that stand twice: covered ones are repeated as a whole, needed ones are to be compared.
+
+    Counts are summed map-side and joined back, so that no anchor's rows have to meet in one task.
+    """
+    shared = anchors.groupBy("h").agg(F.sum("n").alias("of_anchor")).where("of_anchor > 1").select("h")
+    anchors, met_at = written_at(anchors.join(shared, "h", "left_semi"), "met-anchors")
+    lead = F.struct("k1", "k2", "at")
+    contexts, contexts_at = written_at(anchors.groupBy("h", "ctx").agg(F.sum("n").alias("of_context"), F.min(lead).alias("lead")), "anchor-contexts")
+    per_anchor = contexts.groupBy("h").agg(F.min("of_context").alias("least"), F.count("*").alias("contexts"))
+    marks = contexts.join(per_anchor, "h").select("h", "ctx", "lead", (F.col("of_context") == 1).alias("single"), (F.col("least") == 1).alias("singles"), (F.col("contexts") > HOT).alias("hot"))
+    rows = anchors.join(marks, ["h", "ctx"])
+    rows = rows.withColumn("covered", ~F.col("single") & (F.col("n") == 1)).withColumn("needed", F.col("singles") & (F.col("single") | (F.col("lead") == lead)))
+    rows = rows.where("covered OR needed").select("k1", "k2", "h", "at", "first", "last", "single", "covered", "needed", "hot")
+    out = written_at(rows, "shared-anchors")
+    remove(met_at)
+    remove(contexts_at)
+    return out
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(k1, k2, spans) of each keyed() document that has repeated bytes: [start, end, start, end, ...] in its UTF-8 text."""
     small_batches(docs.sparkSession, 2000)
     source = docs.select("k1", "k2", "text")
     found, found_at = written_at(source.mapInArrow(lambda b: _find(span, b), _FOUND), "anchors")
-    anchors = found.where("NOT run").drop("run")
-    by_anchor, by_context = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
-    anchors = anchors.withColumn("of_anchor", F.sum("n").over(by_anchor)).where("of_anchor > 1")
-    anchors = anchors.withColumn("of_context", F.sum("n").over(by_context)).withColumn("singles", F.max((F.col("of_context") == 1).cast("int")).over(by_anchor))
-    anchors = anchors.withColumn("nth", F.row_number().over(by_context.orderBy("k1", "k2", "at")))
-    anchors = anchors.where("(of_context > 1 AND n = 1) OR (singles = 1 AND (of_context = 1 OR nth = 1))")
-    anchors = anchors.select("k1", "k2", "h", "at", "first", "last", (F.col("of_context") == 1).alias("single"), (F.expr("of_context > 1 AND n = 1")).alias("covered"), F.expr("singles = 1 AND (of_context = 1 OR nth = 1)").alias("needed"))
-    anchors, anchors_at = written_at(anchors, "shared-anchors")
-    wanted = anchors.where("needed").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "single", "at", "first", "last")).alias("wanted"))
-    wanted, wanted_at = written_at(wanted, "wanted-contexts")
+    anchors, anchors_at = _shared_anchors(found.where("NOT run").drop("run"))
+    lists = anchors.where("needed").groupBy("k1", "k2", "hot").agg(F.collect_list(F.struct("h", "single", "at", "first", "last")).alias("wanted"))
+    wanted, wanted_at = written_at(lists, "wanted-contexts")
+    paths = [found_at, anchors_at, wanted_at]
     schema = "h long, single boolean, k1 long, k2 long, at int, first int, last int, bytes binary"
-    contexts = _beside(source, wanted, "inner").mapInArrow(lambda b: _contexts(span, b), schema)
+    contexts = _beside(source, wanted.where("NOT hot").drop("hot"), "inner").mapInArrow(lambda b: _contexts(span, b), schema)
     decided = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _decide(span, b), "k1 long, k2 long, first int, last int")
     runs = decided.unionByName(found.where("run").select("k1", "k2", "first", "last"))
     runs = runs.unionByName(anchors.where("covered").select("k1", "k2", "first", (F.col("last") + span).alias("last")))
+    hot = wanted.where("hot").drop("hot")
+    if not hot.isEmpty():
+        runs = runs.unionByName(_hot_runs(source, hot, span, paths))
     lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans, _ = written_at(lists.mapInArrow(_merge_runs, "k1 long, k2 long, spans array<long>"), "repeated-spans")
-    for path in (found_at, anchors_at, wanted_at):
+    for path in paths:
         remove(path)
     return spans
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, topk_exact, warc
@@ -226,6 +227,12 @@ def test_exact_search(spark):
             scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q))[:5]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     assert got == order(want)
+    # Many equal vectors: a cell hands on no more than k rows of a query.
+    same = spark.range(200).selectExpr("id AS vec_id", "array(1L, 2L) AS v")
+    ties = as_rows(topk_exact.search(same, same.where("vec_id = 0")), "rank", "vec_id")
+    assert ties == [(k, k) for k in range(1, 6)]
+    table = pa.table({"vec_id": np.arange(200), "v": [[1, 2]] * 200})
+    assert topk_exact._resolve(5, (), table, table.slice(0, 2).append_column("cutoff", pa.array([5, None]))).num_rows == 10
     few = vectors.where("vec_id IN (0, 1, 500)")
     assert topk_exact.search(few, few.where("vec_id = 0")).count() == 2
     none = vectors.where("vec_id < 0")
@@ -298,6 +305,21 @@ def test_repeated_spans_of_many_variants(spark, monkeypatch):
     assert as_rows(dedup_spans.removed_spans(docs, 200), *columns) == want
 
 
+@pytest.mark.parametrize("span", [400, 64])
+def test_repeated_spans_of_hot_anchors(spark, documents, monkeypatch, span):
+    """Anchors whose contexts are too many for one task: windows are counted by hash."""
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    line, base = prose(77, 12), prose(1, 200)
+    rows = [(k, f"{prose(k, 60)} {line} {prose(k + 900, 60)}", "en", "s", 1) for k in range(60)]
+    rows += [(100 + k, edited(base, k, 1 + k % 9), "en", "s", 1) for k in range(60)] + [(200, "ab" * 900, "en", "s", 1), (201, "c" + "ab" * 700, "en", "s", 1)]
+    monkeypatch.setattr(dedup_spans, "HOT", 3)
+    assert as_rows(dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), span), *columns) == order(brute_spans(rows, span))
+    assert as_rows(dedup_spans.removed_spans(documents, span), *columns) == order(brute_spans(ROWS, span))
+    monkeypatch.setattr(dedup_spans, "STRIDE", 50)
+    monkeypatch.setattr(dedup_spans, "HOT", 0)
+    assert as_rows(dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), span), *columns) == order(brute_spans(rows, span))
+
+
 def test_characters_stay_whole():
     text = "aéé".encode()
     assert dedup_spans.kept_text(text, [2, 4]) == "aéé"
