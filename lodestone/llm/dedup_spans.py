@@ -47,8 +47,8 @@ PAIRWISE = 48
 FLUSH = 4000  # contexts sorted together
 HOT = 4000  # contexts of one anchor that one task sorts
 STRIDE = 8192  # window starts that are merged together
-#: Per-document lists up to this many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Per-document lists of up to so many rows with so many entries in all (at most 64 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_ENTRIES = 400_000, 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(77).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
@@ -300,14 +300,16 @@ def _window_runs(span: int, batches):
 
 def _hot_runs(source: DataFrame, wanted: DataFrame, span: int, paths: list[str]) -> DataFrame:
     """Runs of repeated bytes of the single contexts of hot anchors. Groups are counted, never gathered; their joins can be split."""
-    halves = _beside(source, wanted, "inner").mapInArrow(lambda b: _halves(span, b), "p1 long, p2 long, k1 long, k2 long, start int, single boolean, bytes binary")
+    halves = _beside(source, wanted, "wanted", "inner").mapInArrow(lambda b: _halves(span, b), "p1 long, p2 long, k1 long, k2 long, start int, single boolean, bytes binary")
     halves, path = written_at(halves, "hot-halves")
     paths.append(path)
-    met = halves.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2")
+    met, path = written_at(halves.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2"), "hot-halves-twice")
+    paths.append(path)
     rows = halves.join(met, ["p1", "p2"], "left_semi").mapInArrow(lambda b: _windows(span, b), "w1 long, w2 long, k1 long, k2 long, start int, single boolean")
     rows, path = written_at(rows, "hot-windows")
     paths.append(path)
-    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    twice, path = written_at(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "hot-windows-twice")
+    paths.append(path)
     hits = rows.where("single").join(twice, ["w1", "w2"], "left_semi")
     parts = hits.groupBy("k1", "k2", F.floor(F.col("start") / STRIDE).alias("part")).agg(F.collect_list("start").alias("starts"))
     return parts.mapInArrow(lambda b: _window_runs(span, b), "k1 long, k2 long, first int, last int")
@@ -328,9 +330,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumns({"k1": F.xxhash64("text", F.lit(1)), "k2": F.xxhash64(F.lit(2), "doc_id", "text")})
 
 
-def _beside(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
     """docs joined with per-document lists by key."""
-    if lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows, entries = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and entries <= BROADCAST_ENTRIES:
         lists = F.broadcast(lists)
     return docs.join(lists, ["k1", "k2"], how)
 
@@ -338,20 +341,21 @@ def _beside(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 def _shared_anchors(anchors: DataFrame) -> tuple[DataFrame, str]:
     """Rows of anchors that stand twice: covered ones are repeated as a whole, needed ones are to be compared.
 
-    Counts are summed map-side and joined back, so that no anchor's rows have to meet in one task.
+    Counts are summed map-side, written and joined back, so that no anchor's rows have to meet in one task: a join of
+    two exchanges can be split where it is skewed, one with an aggregate cannot.
     """
-    shared = anchors.groupBy("h").agg(F.sum("n").alias("of_anchor")).where("of_anchor > 1").select("h")
+    shared, shared_at = written_at(anchors.groupBy("h").agg(F.sum("n").alias("of_anchor")).where("of_anchor > 1").select("h"), "anchors-twice")
     anchors, met_at = written_at(anchors.join(shared, "h", "left_semi"), "met-anchors")
     lead = F.struct("k1", "k2", "at")
     contexts, contexts_at = written_at(anchors.groupBy("h", "ctx").agg(F.sum("n").alias("of_context"), F.min(lead).alias("lead")), "anchor-contexts")
-    per_anchor = contexts.groupBy("h").agg(F.min("of_context").alias("least"), F.count("*").alias("contexts"))
-    marks = contexts.join(per_anchor, "h").select("h", "ctx", "lead", (F.col("of_context") == 1).alias("single"), (F.col("least") == 1).alias("singles"), (F.col("contexts") > HOT).alias("hot"))
+    per_anchor, per_anchor_at = written_at(contexts.groupBy("h").agg(F.min("of_context").alias("least"), F.count("*").alias("contexts")), "anchor-counts")
+    marks, marks_at = written_at(contexts.join(per_anchor, "h").select("h", "ctx", "lead", (F.col("of_context") == 1).alias("single"), (F.col("least") == 1).alias("singles"), (F.col("contexts") > HOT).alias("hot")), "anchor-marks")
     rows = anchors.join(marks, ["h", "ctx"])
     rows = rows.withColumn("covered", ~F.col("single") & (F.col("n") == 1)).withColumn("needed", F.col("singles") & (F.col("single") | (F.col("lead") == lead)))
     rows = rows.where("covered OR needed").select("k1", "k2", "h", "at", "first", "last", "single", "covered", "needed", "hot")
     out = written_at(rows, "shared-anchors")
-    remove(met_at)
-    remove(contexts_at)
+    for path in (shared_at, met_at, contexts_at, per_anchor_at, marks_at):
+        remove(path)
     return out
 
 
@@ -365,7 +369,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     wanted, wanted_at = written_at(lists, "wanted-contexts")
     paths = [found_at, anchors_at, wanted_at]
     schema = "h long, single boolean, k1 long, k2 long, at int, first int, last int, bytes binary"
-    contexts = _beside(source, wanted.where("NOT hot").drop("hot"), "inner").mapInArrow(lambda b: _contexts(span, b), schema)
+    contexts = _beside(source, wanted.where("NOT hot").drop("hot"), "wanted", "inner").mapInArrow(lambda b: _contexts(span, b), schema)
     decided = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _decide(span, b), "k1 long, k2 long, first int, last int")
     runs = decided.unionByName(found.where("run").select("k1", "k2", "first", "last"))
     runs = runs.unionByName(anchors.where("covered").select("k1", "k2", "first", (F.col("last") + span).alias("last")))
@@ -400,7 +404,7 @@ def _digest(batches):
 def with_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """keyed() documents with the column spans, null where nothing is repeated."""
     rows = keyed(docs)
-    return _beside(rows, repeated_spans(rows, span), "left")
+    return _beside(rows, repeated_spans(rows, span), "spans", "left")
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
