@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import remove, written_at
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v): each node moves to the smallest one it can see."""
+def _star(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One large-star and one small-star step over edges (u, v): each node moves to the smallest one it can see.
+
+    The smallest ones are written before they are joined back, so that a node with very many edges can be split.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low, low_at = written_at(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
     large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    low, small_at = written_at(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
     small = large.join(low, "u")
     moved = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), [low_at, small_at]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state, old = now, path
-        at, path = written_at(_star(at), "edges")
-        remove(old)
+        (nearer, used), old = _star(at), path
+        state, (at, path) = now, written_at(nearer, "edges")
+        for p in (*used, old):
+            remove(p)

@@ -250,7 +250,8 @@ def _confirm(threshold: int, table: pa.Table) -> pa.Table:
 def confirmed_links(docs: DataFrame, rows: DataFrame, words: int, threshold: int) -> DataFrame:
     """(u, v) links between classes, confirmed on full sets, that span every component."""
     keyed = rows.where("n > 0").select(F.explode("bands").alias("key"), "cid")
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub <> last").drop("last")
+    # Written, so that the join below has an exchange on both sides and a key of very many rows can be split.
+    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub <> last").drop("last"), "near-hubs")
     edges = keyed.join(shared, "key").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
     roots = components(edges)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -283,9 +284,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     roots = components(links)
     remove(path)
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "root").select("cid", "component_id")
+    classes = written(classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root")), "near-roots")
+    lows = written(classes.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-lows")
+    classes = classes.join(lows, "root", "left").select("cid", F.when(F.col("lowest").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
     slim = rows.select("doc_id", "cid", F.col("n").alias("n_shingles"))
     out = slim.where("n_shingles > 0").join(classes, "cid").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
