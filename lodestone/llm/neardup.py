@@ -255,8 +255,8 @@ def confirmed_links(docs: DataFrame, rows: DataFrame, words: int, threshold: int
     edges = keyed.join(shared, "key").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
     roots = components(edges)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    picked = rows.join(clusters, F.col("cid") == F.col("node")).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("root").alias("cluster"), F.first("n").alias("n"))
-    picked = written(picked, "near-classes")
+    picked = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    picked = written(picked.join(clusters, F.col("cid") == F.col("node")).select("cid", "rep", F.col("root").alias("cluster"), "n"), "near-classes")
     weights = picked.groupBy("cluster").agg(F.sum("n").alias("n")).select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     total = picked.agg(F.sum("n")).first()[0] or 0
     deals = max(1, -(-2 * total // BLOCK))
