@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import registry
 from lodestone.functions.porter2 import stem
 from lodestone.functions.text import words
 from lodestone.operators import ann, benchfold, evaluate, quantize, topk
@@ -79,6 +80,13 @@ def test_approximate_search_is_close_to_exact(spark):
     assert few.groupBy("qid").count().where("count <> 20").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_lists_query_is_close_to_exact(spark, sf):
+    """With the query's own parameters, on the tables it runs on."""
+    got, exact = (registry.QUERIES[q](spark, f"/root/testdata/{sf}").withColumnRenamed("offset", "id") for q in ("ivf_knn", "knn_dot"))
+    assert evaluate.recall_per_query(got, exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_codes(spark):
     assert [quantize.oversampled(10, f) for f in (None, 1.0, float("nan"), 2.45)] == [10, 10, 10, 25]
     assert quantize.parts_for(128, 16) == 32 and quantize.parts_for(30, 16) == 6
