@@ -8,7 +8,9 @@ Arrow batches.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from lodestone.operators.topk import rank_within
 
 SAMPLE = 65_536
 MAX_OVERSAMPLING = 65_536
+BATCH_QUERIES = 10_000  # queries that travel with the tasks of one scan
+SCORED = 500  # queries that are scored against an Arrow batch at once
 
 
 def oversampled(limit: int, factor: float | None) -> int:
@@ -283,7 +287,7 @@ def two_stage(coded: DataFrame, points: DataFrame, queries: DataFrame, similarit
 
 def product_search(points: DataFrame, queries: DataFrame, model: Product, metric: str = "dot", limit: int = 10, oversampling: float = 4.0) -> DataFrame:
     """Codes are scored by table look-ups, a batch of rows against a bounded batch of queries; the pool is rescored."""
-    return _batch_search(points, queries, lambda q: model.tables(q, metric), lambda x, t: _look_up(model.encode(x), t), metric, limit, oversampling)
+    return _batch_search(points, queries, lambda q: model.tables(q, metric), model.encode, _look_up, metric, limit, oversampling)
 
 
 def _look_up(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -293,32 +297,47 @@ def _look_up(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
 def rotation_search(points: DataFrame, queries: DataFrame, model: Rotation, metric: str = "dot", limit: int = 10, oversampling: float = 4.0) -> DataFrame:
     """Queries stay exact, rows are decoded from their levels."""
 
-    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        y = model.decode(*model.encode(x))
+    def score(y: np.ndarray, q: np.ndarray) -> np.ndarray:
         return q @ y.T if metric in ("dot", "cosine") else -((q[:, None] - y[None]) ** 2).sum(axis=-1)
 
-    return _batch_search(points, queries, model.rotate, score, metric, limit, oversampling)
+    return _batch_search(points, queries, model.rotate, lambda x: model.decode(*model.encode(x)), score, metric, limit, oversampling)
 
 
-def _batch_search(points, queries, prepare, score, metric, limit, oversampling):
-    if queries.limit(10_001).count() > 10_000:
-        raise InvalidArgument("search at most 10,000 queries at a time")
-    rows = queries.select("qid", "q").toPandas()
-    qid, prepared = rows["qid"].to_numpy(), prepare(np.stack(rows["q"].to_numpy()).astype(np.float64))
+def _batch_search(points, queries, prepare, code, score, metric, limit, oversampling):
+    """One coded scan per block of queries; queries travel as they are and are prepared SCORED at a time."""
     pool = oversampled(limit, oversampling)
 
-    def best(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            sim = score(np.stack(batch["vector"].to_numpy()).astype(np.float64), prepared)
-            offsets = batch["offset"].to_numpy()
-            n = min(pool, len(offsets))
-            top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"qid": np.repeat(qid, n), "offset": offsets[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
-
-    found = points.select("offset", "vector").mapInPandas(best, "qid long, offset long, sim double")
-    pool_rows = rank_within(found, "qid", [F.col("sim").desc(), F.col("offset").asc()], pool)
+    def scan(rows: pd.DataFrame) -> DataFrame:
+        qid, q = rows["qid"].to_numpy(), np.stack(rows["q"].to_numpy()).astype(np.float64)
+
+        def best(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                coded = code(np.stack(batch["vector"].to_numpy()).astype(np.float64))
+                offsets = batch["offset"].to_numpy()
+                n = min(pool, len(offsets))
+                for at in range(0, len(qid), SCORED):
+                    sim = score(coded, prepare(q[at : at + SCORED]))
+                    top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+                    yield pd.DataFrame({"qid": np.repeat(qid[at : at + SCORED], n), "offset": offsets[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
+
+        return points.select("offset", "vector").mapInPandas(best, "qid long, offset long, sim double")
+
+    blocks = (rows for rows in _query_blocks(queries.select("qid", "q")) if len(rows))
+    found = [scan(rows) for rows in blocks]
+    if not found:
+        found = [points.select(F.lit(None).cast("long").alias("qid"), "offset", F.lit(0.0).alias("sim")).where(F.lit(False))]
+    pool_rows = rank_within(reduce(DataFrame.unionByName, found), "qid", [F.col("sim").desc(), F.col("offset").asc()], pool)
     return rescored(pool_rows, points, queries, metric, limit)
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """All queries, at most BATCH_QUERIES at a time; more are dealt by a hash of qid, with room for uneven blocks."""
+    n = queries.count()
+    if n <= BATCH_QUERIES:
+        yield queries.toPandas()
+        return
+    blocks = -(-n * 5 // (BATCH_QUERIES * 4))
+    for b in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()

@@ -87,6 +87,19 @@ def test_the_lists_query_is_close_to_exact(spark, sf):
     assert evaluate.recall_per_query(got, exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_coded_search_takes_any_number_of_queries(spark):
+    """More than travel with one scan; the pool holds every row, so the answers are the exact ones."""
+    x = np.random.default_rng(5).normal(size=(20, 8))
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "offset long, vector array<double>").coalesce(1).cache()
+    q = spark.range(quantize.BATCH_QUERIES + 500).select(F.col("id").alias("qid"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.sin(d * (F.col("id") + 1))).alias("q"))
+    want = {(r["qid"], r["rank"], r["offset"]) for r in topk.knn(points, q, limit=3).collect()}
+    assert len(want) == 3 * (quantize.BATCH_QUERIES + 500)
+    for got in (quantize.product_search(points, q, quantize.fit_product(points, 16, 8), limit=3, oversampling=8), quantize.rotation_search(points, q, quantize.fit_rotation(points, 4), limit=3, oversampling=8)):
+        assert {(r["qid"], r["rank"], r["offset"]) for r in got.collect()} == want
+    none = q.where("qid < 0")
+    assert quantize.product_search(points, none, quantize.fit_product(points, 16, 8)).count() == 0
+
+
 def test_codes(spark):
     assert [quantize.oversampled(10, f) for f in (None, 1.0, float("nan"), 2.45)] == [10, 10, 10, 25]
     assert quantize.parts_for(128, 16) == 32 and quantize.parts_for(30, 16) == 6
