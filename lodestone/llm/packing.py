@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.errors import Unsupported
 from lodestone.llm.common import small_batches, written
 
 LENGTH, END = 2048, 0
@@ -55,15 +56,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
 
 
-def _encoder(ranks: dict[bytes, int]):
-    """One encoder per worker process, as building it takes longer than many texts."""
+def load_special(path: str) -> dict[str, int]:
+    """The file's added tokens, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    for t in added:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or not t.get("special"):
+            raise Unsupported(f"the added token {t['content']!r} with its flags")
+    return {t["content"]: t["id"] for t in added}
+
+
+def _encoder(ranks: dict[bytes, int], special: dict[str, int] | None = None):
+    """One encoder per worker process, as building it takes longer than many texts. Without special, every text is ordinary."""
     import tiktoken
 
     kept = sys.__dict__.setdefault("_lodestone_encoders", {})
-    key = (len(ranks), zlib.crc32(b"\0".join(ranks)))
+    special = special or {}
+    key = (len(ranks), zlib.crc32(b"\0".join(ranks)), *sorted(special.items()))
     if key not in kept:
-        kept[key] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[key].encode_ordinary
+        kept[key] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return partial(kept[key].encode, allowed_special="all") if special else kept[key].encode_ordinary
 
 
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -72,8 +84,8 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first), *((s, length) for s in range(first, n, length))]
 
 
-def _pieces(ranks, length: int, end: int, with_ids: bool, batches):
-    encode = _encoder(ranks)
+def _pieces(ranks, special, length: int, end: int, with_ids: bool, batches):
+    encode = _encoder(ranks, special)
     for batch in batches:
         doc, piece, start, size, crc, ids_of = [], [], [], [], [], []
         for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -104,7 +116,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
     small_batches(docs.sparkSession, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    run = partial(_pieces, load_ranks(vocabulary or default_vocabulary()), length, end, with_ids)
+    vocabulary = vocabulary or default_vocabulary()
+    run = partial(_pieces, load_ranks(vocabulary), load_special(vocabulary), length, end, with_ids)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 

@@ -93,6 +93,16 @@ def test_the_encoder_agrees_with_the_file(text):
     assert packing._encoder(packing.load_ranks(packing.default_vocabulary()))(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_texts_are_those_of_the_file(spark):
+    """As the default Tokenizer encodes them, alone, side by side and next to white space."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "two  <|endoftext|>\n\n z", "<|endoftext| >", "it's <|endoftext|>'s", prose(1, 40) + "<|endoftext|>" + prose(2, 40)]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: t.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)}
+
+
 def test_fullest_finds_the_best_sum():
     from itertools import product
 
