@@ -2,8 +2,8 @@
 
 1 quality classifier: documents that it rejects go.
 2 near-duplicates: one document of each group stays.
-3 repeated passages: every byte that a repeated string of PASSAGE bytes covers is cut out of the texts; characters stay
-  whole. Passages of more than 50 words have that length; the operator's own query looks for longer ones.
+3 repeated passages: every byte that a repeated string of PASSAGE bytes or of WORDS words covers is cut out of the texts;
+  characters stay whole. Words stand between ASCII white space; the operator's own query looks for longer passages.
 4 mixing: every document stands as often as the mix takes it.
 5 packing: the pieces of all documents with their sequences.
 
@@ -29,8 +29,8 @@ from lodestone.llm.dedup_spans import kept_text
 # Executors need no copy of this module: its functions travel with the tasks.
 register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes. Fifty words of any of the languages take more.
-PASSAGE = 250
+#: Bytes, and words: a passage of more than 50 words is repeated however short they are.
+PASSAGE, WORDS = 250, 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -52,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    rows = dedup_spans.with_spans(docs.select(*COLUMNS), PASSAGE)
+    rows = dedup_spans.with_spans(docs.select(*COLUMNS), PASSAGE, WORDS)
     cut = F.pandas_udf(_cut, "string")
     text = F.when(F.col("spans").isNull(), F.col("text").cast("string")).otherwise(cut("text", "spans"))
     rows = rows.withColumn("__text", text)

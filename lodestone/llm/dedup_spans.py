@@ -21,7 +21,10 @@ with SPAN - o on its right.
    rows, each time among other words) is not sorted in one task. Every window
    holds the half of its length on one side of the anchor, so contexts whose
    half no other has are done; the windows of the rest are counted by hash.
-5. The covered runs of a document are merged and cut out.
+5. Where passages are also judged by words, the strings of so many words that
+   are shorter than SPAN bytes are counted by 128-bit hashes; longer ones are
+   covered by windows of SPAN bytes.
+6. The covered runs of a document are merged and cut out.
 
 Null texts are empty; texts shorter than SPAN lose nothing. Matches never cross
 documents; overlaps and repeats inside a document count. Rows that repeat a
@@ -53,6 +56,7 @@ BROADCAST_ROWS, BROADCAST_ENTRIES = 400_000, 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(77).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 20) - 1)
+_IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)], np.int8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -315,6 +319,49 @@ def _hot_runs(source: DataFrame, wanted: DataFrame, span: int, paths: list[str])
     return parts.mapInArrow(lambda b: _window_runs(span, b), "k1 long, k2 long, first int, last int")
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space."""
+    edges = np.diff(_IN_WORD[np.frombuffer(text, np.uint8)], prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _short_strings(span: int, words: int, batches):
+    """The strings of so many words that have fewer than span bytes."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for batch in batches:
+        for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True):
+            starts, ends = word_bounds(text)
+            first, last = starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+            short = np.flatnonzero(last - first < span)
+            for at in range(0, len(short), 20_000):
+                a, b = (x[short[at : at + 20_000]].tolist() for x in (first, last))
+                w1, w2 = zip(*(_digest_words(text[i:j]) for i, j in zip(a, b, strict=True)), strict=True)
+                cols = (w1, w2, [k1] * len(a), [k2] * len(a), a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["w1", "w2", "k1", "k2", "first", "last"])
+
+
+def _merge_part(batches):
+    for batch in batches:
+        rows = []
+        for k1, k2, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "runs")), strict=True):
+            a, b = merged(np.array([r["first"] for r in runs], np.int64), np.array([r["last"] for r in runs], np.int64))
+            rows += [(k1, k2, int(x), int(y)) for x, y in zip(a, b, strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "first", "last"])
+
+
+def _short_runs(source: DataFrame, span: int, words: int, paths: list[str]) -> DataFrame:
+    """Runs of repeated strings of so many words below span bytes. They are counted, never gathered; their join can be split."""
+    rows = source.mapInArrow(lambda b: _short_strings(span, words, b), "w1 long, w2 long, k1 long, k2 long, first int, last int")
+    rows, path = written_at(rows, "short-strings")
+    paths.append(path)
+    twice, path = written_at(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "short-strings-twice")
+    paths.append(path)
+    hits = rows.join(twice, ["w1", "w2"], "left_semi")
+    parts = hits.groupBy("k1", "k2", F.floor(F.col("first") / STRIDE).alias("part")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return parts.mapInArrow(_merge_part, "k1 long, k2 long, first int, last int")
+
+
 def _merge_runs(batches):
     for batch in batches:
         out = []
@@ -359,8 +406,11 @@ def _shared_anchors(anchors: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(k1, k2, spans) of each keyed() document that has repeated bytes: [start, end, start, end, ...] in its UTF-8 text."""
+def repeated_spans(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+    """(k1, k2, spans) of each keyed() document that has repeated bytes: [start, end, start, end, ...] in its UTF-8 text.
+
+    With words, a string of so many whole words counts as well, however short.
+    """
     small_batches(docs.sparkSession, 2000)
     source = docs.select("k1", "k2", "text")
     found, found_at = written_at(source.mapInArrow(lambda b: _find(span, b), _FOUND), "anchors")
@@ -376,6 +426,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     hot = wanted.where("hot").drop("hot")
     if not hot.isEmpty():
         runs = runs.unionByName(_hot_runs(source, hot, span, paths))
+    if words:
+        runs = runs.unionByName(_short_runs(source, span, words, paths))
     lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans, _ = written_at(lists.mapInArrow(_merge_runs, "k1 long, k2 long, spans array<long>"), "repeated-spans")
     for path in paths:
@@ -401,10 +453,10 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def with_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def with_spans(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
     """keyed() documents with the column spans, null where nothing is repeated."""
     rows = keyed(docs)
-    return _beside(rows, repeated_spans(rows, span), "spans", "left")
+    return _beside(rows, repeated_spans(rows, span, words), "spans", "left")
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -47,6 +47,24 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_repeated_passages_of_short_words(spark):
+    """51 repeated words go whatever their bytes; 50 short ones stay, as do words that are repeated in part only."""
+    short = lambda k, n: " ".join("abcdefghij"[(k * 7 + i * i + i // 3) % 10] + "klmnopqrst"[(k + i * 3 + i // 7) % 10] for i in range(n))
+    passage, almost, split = short(1, 51), short(2, 50), short(3, 51)
+    assert len(passage) < corpus_pipeline.PASSAGE
+    texts = [
+        f"{prose(1, 30)} {passage} {prose(2, 30)}", f"{prose(3, 20)}\n{passage}", f"{prose(4, 30)} {almost} {prose(5, 30)}", f"{prose(6, 30)} {almost}",
+        f"{prose(7, 20)} {split} {prose(8, 9)}", f"{prose(9, 20)} x{split}y {prose(10, 9)}", None, "", "one",
+        f"é {short(4, 60)} {prose(11, 50)} {short(4, 60)}",
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t) if t is not None else None) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want = list(texts)
+    want[0], want[1], want[9] = f"{prose(1, 30)}  {prose(2, 30)}", f"{prose(3, 20)}\n", f"é  {prose(11, 50)} "
+    assert [got[k]["text"] or "" for k in range(len(texts))] == [t or "" for t in want]
+    assert all(got[k]["n_chars"] == len(t) for k, t in enumerate(want) if t is not None)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
