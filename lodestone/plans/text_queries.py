@@ -43,7 +43,7 @@ def term_frequencies(spark, sf_dir):
 
 def vocabulary_stems(spark, sf_dir):
     """The distinct words of the corpus with their stems."""
-    words = corpus(spark, sf_dir).where("lang = 'en'").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    words = corpus(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
     return words.withColumn("stem", T.stemmed(F.array("word"))[0])
 
 

@@ -115,3 +115,8 @@ def test_words_and_stems(spark):
     assert df.select(words(F.col("t"))).first()[0] == ["ünïcode", "wörds", "12a3", "½", "naïve", "x", "σας"]
     want = {"consigning": "consign", "knackeries": "knackeri", "generously": "generous", "communication": "communic", "happily": "happili", "hoping": "hope", "hopping": "hop", "relational": "relat", "skies": "sky", "dying": "die", "lying": "lie", "cries": "cri", "ties": "tie", "by": "by", "say": "say", "bed": "bed", "sensational": "sensat"}
     assert {w: stem(w) for w in want} == want
+
+
+def test_the_vocabulary_is_of_all_languages(spark, tmp_path):
+    spark.createDataFrame([(0, "hoping", "en"), (1, "perros", "es"), (2, "ties hoping", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["word"]: r["stem"] for r in registry.QUERIES["vocabulary_stems"](spark, str(tmp_path)).collect()} == {"hoping": "hope", "perros": stem("perros"), "ties": "tie"}
