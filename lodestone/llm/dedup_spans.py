@@ -11,16 +11,21 @@ with SPAN - o on its right.
 1. One pass finds anchors. Contexts that occur twice in a batch are repeated as a
    whole: their bytes are noted at once and one row goes on, so that a passage
    that stands in a third of all rows is not sent a third of all rows times.
-2. Rows meet by anchor. Equal contexts are repeated as a whole; contexts that no
-   other row has, in anchors that others have too, need their texts.
-3. Those texts, with one of each repeated context beside them, are sorted per
-   anchor by external induced sorting (suffixes.py), rightwards from the anchor
-   and leftwards from it, common prefixes carried along. Neighbours' common
-   prefixes decide each window exactly.
-4. An anchor with more than HOT contexts (a line that stands in a third of all
-   rows, each time among other words) is not sorted in one task. Every window
-   holds the half of its length on one side of the anchor, so contexts whose
-   half no other has are done; the windows of the rest are counted by hash.
+2. Rows meet by anchor. Equal contexts (by a 128-bit digest of their bytes) are
+   repeated as a whole; contexts that no other row has, in anchors that others
+   have too, need their texts.
+3. Those texts, with one of each repeated context beside them, form a shard per
+   task. It is sorted by external induced sorting (suffixes.py), rightwards from
+   the anchor and leftwards from it: texts lie in a file, suffix tuples pass
+   through queues that spill sorted runs, common prefixes are carried along.
+   Neighbours' common prefixes decide each window exactly.
+4. An anchor that more than HOT different contexts share (a line that stands in
+   a third of all rows, each time among other words) would make one task of many
+   rows. It is lengthened: its windows are dealt into runs of neighbours, each
+   named by the longer string that all windows of the run hold, and these go
+   through steps 2 and 3 again. A run is PARTS times shorter each time; a run of
+   one window is named by the window itself, so that the names end. No window is
+   dropped or decided in another way.
 5. Where passages are also judged by words, the strings of so many words that
    are shorter than SPAN bytes are counted by 128-bit hashes; longer ones are
    covered by windows of SPAN bytes.
@@ -29,26 +34,29 @@ with SPAN - o on its right.
 Null texts are empty; texts shorter than SPAN lose nothing. Matches never cross
 documents; overlaps and repeats inside a document count. Rows that repeat a
 whole row are copies of each other, so both lose all they have if it is SPAN
-bytes or more.
+bytes or more. An empty table gives an empty one; other columns take no part,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import remove, small_batches, written_at
-from lodestone.llm.suffixes import BLOCK, Strings, induce
+from lodestone.llm.suffixes import BLOCK, IN_MEMORY, Strings, induce
 
 SPAN, GRAM = 400, 32
 SLICE = (1 << 20) - 2 * SPAN  # windows hashed at once; their places fit in 20 bits
 PAIRWISE = 48
-FLUSH = 4000  # contexts sorted together
-HOT = 4000  # contexts of one anchor that one task sorts
+HOT = 1000  # different contexts of one anchor, above which it is lengthened
+PARTS = 8  # the runs that an anchor's windows are dealt into each time
 STRIDE = 8192  # window starts that are merged together
 #: Per-document lists of up to so many rows with so many entries in all (at most 64 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 400_000, 2_000_000
@@ -84,9 +92,9 @@ class Hasher:
         return self.up, self.down
 
     def anchors(self, text: bytes, span: int = SPAN) -> tuple[np.ndarray, ...]:
-        """Per anchor: its hash, its context's hash, its place, and the first and last window that name it."""
+        """Per anchor: its hash, its place, and the first and last window that name it."""
         parts = [self._slice(text, s, min(len(text) - span + 1, s + SLICE), span) for s in range(0, len(text) - span + 1, SLICE)]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
 
     def _slice(self, text: bytes, begin: int, end: int, span: int) -> tuple[np.ndarray, ...]:
         raw = np.frombuffer(text, np.uint8, end - begin + span - 1, begin)
@@ -104,8 +112,7 @@ class Hasher:
         first = np.flatnonzero(np.diff(named, prepend=-1))
         last = np.append(first[1:], windows) - 1
         at = named[first]
-        context = _mix((sums[last + span] - sums[first]) * down[first]) ^ _mix((at - first).astype(np.uint64) * np.uint64(_BASE) + (last - first).astype(np.uint64))
-        return h[at], context, at + begin, first + begin, last + begin
+        return h[at], at + begin, first + begin, last + begin
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +125,42 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-_FOUND = "run boolean, k1 long, k2 long, h long, ctx long, n int, at int, first int, last int"
+_FOUND = "run boolean, k1 long, k2 long, h long, c1 long, c2 long, n int, at int, first int, last int"
 
 
-def _find(span: int, batches):
+def _context(text: bytes, at: int, first: int, last: int, span: int) -> bytes:
+    """A digest of a context's bytes and of the anchor's place in them."""
+    return xxhash.xxh3_128_digest(text[first : last + span] + (at - first).to_bytes(4, "big"))
+
+
+def _met(span: int, k1, k2, row, h, digests: list[bytes], n, at, first, last) -> pa.RecordBatch:
     """Rows of anchors, one per context of the batch, and rows of runs that are known to be repeated."""
+    c1, c2 = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2).T
+    order = np.lexsort((c2, c1, h))
+    same = np.append(False, (h[order][1:] == h[order][:-1]) & (c1[order][1:] == c1[order][:-1]) & (c2[order][1:] == c2[order][:-1]))
+    heads = np.flatnonzero(~same)
+    rows = np.diff(np.append(heads, len(order)))
+    total = np.add.reduceat(n[order], heads)
+    one = order[heads]
+    repeated = order[np.repeat(rows, rows) > 1]
+    runs = []
+    by_row = repeated[np.argsort(row[repeated], kind="stable")]
+    for r, mine in zip(*_groups(row[by_row], by_row), strict=True):
+        a, b = merged(first[mine], last[mine] + span)
+        runs.append((np.full(len(a), r), a, b))
+    r_row, r_a, r_b = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
+    m, q = len(one), len(r_a)
+    zero = np.zeros(q, np.int64)
+    both = lambda x, y, kind: pa.array(np.append(x, y).astype(kind))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(m + q) >= m), both(k1[row[one]], k1[r_row], np.int64), both(k2[row[one]], k2[r_row], np.int64), both(h[one], zero, np.int64),
+         both(c1[one], zero, np.int64), both(c2[one], zero, np.int64), both(total, zero, np.int32), both(at[one], zero, np.int32), both(first[one], r_a, np.int32), both(last[one], r_b, np.int32)],
+        ["run", "k1", "k2", "h", "c1", "c2", "n", "at", "first", "last"],
+    )
+
+
+def _find(span: int, batches):
+    """The anchors of whole texts."""
     hasher = Hasher()
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -130,28 +168,34 @@ def _find(span: int, batches):
         if not found:
             continue
         row = np.concatenate([np.full(len(x[1]), x[0]) for x in found])
-        h, ctx, at, first, last = (np.concatenate([x[k] for x in found]) for k in range(1, 6))
+        h, at, first, last = (np.concatenate([x[k] for x in found]) for k in range(1, 5))
+        digests = [_context(texts[i], *x, span) for i, *x in zip(row.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True)]
         k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-        order = np.lexsort((ctx, h))
-        same = np.append(False, (h[order][1:] == h[order][:-1]) & (ctx[order][1:] == ctx[order][:-1]))
-        heads = np.flatnonzero(~same)
-        n = np.diff(np.append(heads, len(order)))
-        one = order[heads]
-        repeated = order[np.repeat(n, n) > 1]
-        runs = []
-        by_row = repeated[np.argsort(row[repeated], kind="stable")]
-        for r, mine in zip(*_groups(row[by_row], by_row), strict=True):
-            a, b = merged(first[mine], last[mine] + span)
-            runs.append((np.full(len(a), r), a, b))
-        r_row, r_a, r_b = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
-        m, q = len(one), len(r_a)
-        zero = np.zeros(q, np.int64)
-        both = lambda x, y, kind: pa.array(np.append(x, y).astype(kind))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(m + q) >= m), both(k1[row[one]], k1[r_row], np.int64), both(k2[row[one]], k2[r_row], np.int64), both(h[one].view(np.int64), zero, np.int64),
-             both(ctx[one].view(np.int64), zero, np.int64), both(n, zero, np.int32), both(at[one], zero, np.int32), both(first[one], r_a, np.int32), both(last[one], r_b, np.int32)],
-            ["run", "k1", "k2", "h", "ctx", "n", "at", "first", "last"],
-        )
+        yield _met(span, k1, k2, row, h.view(np.int64), digests, np.ones(len(h), np.int64), at, first, last)
+
+
+def _lengthen(span: int, width: int, batches):
+    """The contexts of hot anchors as runs of at most `width` windows, named by what all windows of the run hold.
+
+    Runs begin at the same distances before the anchor everywhere, so equal windows name equal strings.
+    """
+    most = span - GRAM
+    for batch in batches:
+        rows: list[tuple] = []
+        digests: list[bytes] = []
+        for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+            for w in wanted:
+                at, low, high = w["at"], w["at"] - w["last"], w["at"] - w["first"]
+                for part in range(low // width, high // width + 1):
+                    near, far = part * width, min(part * width + width - 1, most)
+                    name = xxhash.xxh3_64_intdigest(text[at - near : at - far + span], seed=(w["h"] + part) % 2**64)
+                    first, last = at - min(far, high), at - max(near, low)
+                    digests.append(_context(text, at, first, last, span))
+                    rows.append((i, name, 1 if w["single"] else 2, at, first, last))
+        if rows:
+            row, h, n, at, first, last = (np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64), strict=True))
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            yield _met(span, k1, k2, row, h.view(np.int64), digests, n, at, first, last)
 
 
 def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -205,53 +249,49 @@ def repeated_windows(order_r, common_r, order_l, common_l, low, high, span: int)
     return out[:, : span + 1] > 0
 
 
-def _decide(span: int, batches):
-    """Runs of repeated bytes of the single contexts of whole groups, which come in order of h."""
-    rows: list[tuple] = []
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        store = Strings()
-        try:
-            group = np.unique([r[0] for r in rows], return_inverse=True)[1]
-            single = np.array([r[1] for r in rows])
-            at, first, last = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-            for r in rows:
-                store.add(r[7])
-            store.open()
-            begin, cut, size = np.array(store.at, np.int64), at - first, np.array([len(r[7]) for r in rows])
-            data, start, stop, middle = store.map, begin.tolist(), (begin + size).tolist(), (begin + cut).tolist()
-            rightwards = lambda i, d: data[middle[i] + d * BLOCK : min(stop[i], middle[i] + (d + 1) * BLOCK)]
-            leftwards = lambda i, d: data[max(start[i], middle[i] - (d + 1) * BLOCK) : middle[i] - d * BLOCK][::-1]
-            orders = induce(group, size - cut, rightwards), induce(group, cut, leftwards)
-            low, high = at - last, cut
-            out = []
-            by_group = [_groups(group[order], np.arange(len(order)))[1] for order, _ in orders]
-            for places_r, places_l in zip(*by_group, strict=True):
-                members = np.sort(orders[0][0][places_r])
-                if len(members) < 2 or not single[members].any():
-                    continue
-                local = [(np.searchsorted(members, order[p]), np.append(0, common[p][1:])) for (order, common), p in zip(orders, (places_r, places_l), strict=True)]
-                hit = repeated_windows(*local[0], *local[1], low[members], high[members], span)
-                for k in np.flatnonzero(single[members] & hit.any(axis=1)):
-                    i = members[k]
-                    o = np.flatnonzero(hit[k])[::-1]
-                    a, b = merged(at[i] - o, at[i] - o + span)
-                    out += [(rows[i][2], rows[i][3], int(x), int(y)) for x, y in zip(a, b, strict=True)]
-        finally:
-            store.close()
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k1", "k2", "first", "last"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-            if len(rows) >= FLUSH and row[0] != rows[-1][0]:
-                if (done := flush(rows)) is not None:
-                    yield done
-                rows = []
-            rows.append(row)
-    if rows and (done := flush(rows)) is not None:
-        yield done
+def _decide(span: int, keep: int, batches):
+    """Runs of repeated bytes of the single contexts of a shard. Its texts go to a file; per context a few numbers stay in memory."""
+    store, parts = Strings(), []
+    try:
+        for batch in batches:
+            for data in batch.column("bytes").to_pylist():
+                store.add(data)
+            parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "single", "k1", "k2", "at", "first", "last")])
+        if not store.at:
+            return
+        store.open()
+        h, single, k1, k2, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, first, last = (x.astype(np.int64) for x in (at, first, last))
+        group, begin = np.unique(h, return_inverse=True)[1], np.array(store.at, np.int64)
+        cut, size = at - first, np.diff(np.append(begin, store.size))
+        data, start, stop, middle = store.map, begin.tolist(), (begin + size).tolist(), (begin + cut).tolist()
+        rightwards = lambda i, d: data[middle[i] + d * BLOCK : min(stop[i], middle[i] + (d + 1) * BLOCK)]
+        leftwards = lambda i, d: data[max(start[i], middle[i] - (d + 1) * BLOCK) : middle[i] - d * BLOCK][::-1]
+        orders = induce(group, size - cut, rightwards, keep), induce(group, cut, leftwards, keep)
+        low, high = at - last, cut
+        out: list[tuple] = []
+        cuts = [np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order)) for order, _ in orders]
+        for (a, b), (c, d) in zip(*(zip(x, x[1:], strict=False) for x in cuts), strict=True):
+            members = np.sort(orders[0][0][a:b])
+            if len(members) < 2 or not single[members].any():
+                continue
+            local = [(np.searchsorted(members, order[i:j]), np.append(0, common[i + 1 : j])) for (order, common), (i, j) in zip(orders, ((a, b), (c, d)), strict=True)]
+            hit = repeated_windows(*local[0], *local[1], low[members], high[members], span)
+            for k in np.flatnonzero(single[members] & hit.any(axis=1)):
+                i = members[k]
+                o = np.flatnonzero(hit[k])[::-1]
+                out += [(k1[i], k2[i], x, y) for x, y in zip(*merged(at[i] - o, at[i] - o + span), strict=True)]
+            if len(out) >= 50_000:
+                yield _runs(out)
+                out = []
+        yield _runs(out)
+    finally:
+        store.close()
+
+
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "first", "last"])
 
 
 def _digest_words(data: bytes) -> tuple[int, int]:
@@ -259,66 +299,6 @@ def _digest_words(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _halves(span: int, batches):
-    """The contexts of hot anchors, cut into the windows left and right of the middle, with the hash of what all of them hold."""
-    middle = span // 2
-    names = ["p1", "p2", "k1", "k2", "start", "single", "bytes"]
-    for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for text, k1, k2, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "wanted")), strict=True):
-            for w in wanted:
-                at, low, high = w["at"], w["at"] - w["last"], w["at"] - w["first"]
-                for side, a, b in ((b"r", low, min(high, middle)), (b"l", max(low, middle + 1), high)):
-                    if a > b:
-                        continue
-                    held = text[at : at + span - middle] if side == b"r" else text[at - middle - 1 : at + GRAM]
-                    for c, v in zip(cols, (*_digest_words(side + held), k1, k2, at - b, w["single"], text[at - b : at - a + span]), strict=True):
-                        c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
-def _windows(span: int, batches):
-    names = ["w1", "w2", "k1", "k2", "start", "single"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            cols: list[list] = [[] for _ in names]
-            part = batch.slice(at, 200)
-            for k1, k2, start, single, data in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "start", "single", "bytes")), strict=True):
-                for i in range(len(data) - span + 1):
-                    for c, v in zip(cols, (*_digest_words(data[i : i + span]), k1, k2, start + i, single), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
-def _window_runs(span: int, batches):
-    for batch in batches:
-        rows = []
-        for k1, k2, starts in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "starts")), strict=True):
-            first = np.array(starts, np.int64)
-            rows += [(k1, k2, int(a), int(b)) for a, b in zip(*merged(first, first + span), strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "first", "last"])
-
-
-def _hot_runs(source: DataFrame, wanted: DataFrame, span: int, paths: list[str]) -> DataFrame:
-    """Runs of repeated bytes of the single contexts of hot anchors. Groups are counted, never gathered; their joins can be split."""
-    halves = _beside(source, wanted, "wanted", "inner").mapInArrow(lambda b: _halves(span, b), "p1 long, p2 long, k1 long, k2 long, start int, single boolean, bytes binary")
-    halves, path = written_at(halves, "hot-halves")
-    paths.append(path)
-    met, path = written_at(halves.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2"), "hot-halves-twice")
-    paths.append(path)
-    rows = halves.join(met, ["p1", "p2"], "left_semi").mapInArrow(lambda b: _windows(span, b), "w1 long, w2 long, k1 long, k2 long, start int, single boolean")
-    rows, path = written_at(rows, "hot-windows")
-    paths.append(path)
-    twice, path = written_at(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "hot-windows-twice")
-    paths.append(path)
-    hits = rows.where("single").join(twice, ["w1", "w2"], "left_semi")
-    parts = hits.groupBy("k1", "k2", F.floor(F.col("start") / STRIDE).alias("part")).agg(F.collect_list("start").alias("starts"))
-    return parts.mapInArrow(lambda b: _window_runs(span, b), "k1 long, k2 long, first int, last int")
-
-
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words between ASCII white space."""
     edges = np.diff(_IN_WORD[np.frombuffer(text, np.uint8)], prepend=np.int8(0), append=np.int8(0))
@@ -346,8 +326,7 @@ def _merge_part(batches):
         for k1, k2, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "runs")), strict=True):
             a, b = merged(np.array([r["first"] for r in runs], np.int64), np.array([r["last"] for r in runs], np.int64))
             rows += [(k1, k2, int(x), int(y)) for x, y in zip(a, b, strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "first", "last"])
+        yield _runs(rows)
 
 
 def _short_runs(source: DataFrame, span: int, words: int, paths: list[str]) -> DataFrame:
@@ -385,19 +364,20 @@ def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFra
     return docs.join(lists, ["k1", "k2"], how)
 
 
-def _shared_anchors(anchors: DataFrame) -> tuple[DataFrame, str]:
+def _shared_anchors(anchors: DataFrame, hot: int) -> tuple[DataFrame, str]:
     """Rows of anchors that stand twice: covered ones are repeated as a whole, needed ones are to be compared.
 
     Counts are summed map-side, written and joined back, so that no anchor's rows have to meet in one task: a join of
     two exchanges can be split where it is skewed, one with an aggregate cannot.
     """
+    context = ["h", "c1", "c2"]
     shared, shared_at = written_at(anchors.groupBy("h").agg(F.sum("n").alias("of_anchor")).where("of_anchor > 1").select("h"), "anchors-twice")
     anchors, met_at = written_at(anchors.join(shared, "h", "left_semi"), "met-anchors")
     lead = F.struct("k1", "k2", "at")
-    contexts, contexts_at = written_at(anchors.groupBy("h", "ctx").agg(F.sum("n").alias("of_context"), F.min(lead).alias("lead")), "anchor-contexts")
+    contexts, contexts_at = written_at(anchors.groupBy(*context).agg(F.sum("n").alias("of_context"), F.min(lead).alias("lead")), "anchor-contexts")
     per_anchor, per_anchor_at = written_at(contexts.groupBy("h").agg(F.min("of_context").alias("least"), F.count("*").alias("contexts")), "anchor-counts")
-    marks, marks_at = written_at(contexts.join(per_anchor, "h").select("h", "ctx", "lead", (F.col("of_context") == 1).alias("single"), (F.col("least") == 1).alias("singles"), (F.col("contexts") > HOT).alias("hot")), "anchor-marks")
-    rows = anchors.join(marks, ["h", "ctx"])
+    marks, marks_at = written_at(contexts.join(per_anchor, "h").select(*context, "lead", (F.col("of_context") == 1).alias("single"), (F.col("least") == 1).alias("singles"), (F.col("contexts") > hot).alias("hot")), "anchor-marks")
+    rows = anchors.join(marks, context)
     rows = rows.withColumn("covered", ~F.col("single") & (F.col("n") == 1)).withColumn("needed", F.col("singles") & (F.col("single") | (F.col("lead") == lead)))
     rows = rows.where("covered OR needed").select("k1", "k2", "h", "at", "first", "last", "single", "covered", "needed", "hot")
     out = written_at(rows, "shared-anchors")
@@ -406,29 +386,37 @@ def _shared_anchors(anchors: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, words: int | None = None, hot: int = HOT, keep: int = IN_MEMORY) -> DataFrame:
     """(k1, k2, spans) of each keyed() document that has repeated bytes: [start, end, start, end, ...] in its UTF-8 text.
 
-    With words, a string of so many whole words counts as well, however short.
+    With words, a string of so many whole words counts as well, however short. Anchors of more than `hot` contexts are
+    lengthened; a task's queues hold `keep` suffixes in memory.
     """
     small_batches(docs.sparkSession, 2000)
     source = docs.select("k1", "k2", "text")
-    found, found_at = written_at(source.mapInArrow(lambda b: _find(span, b), _FOUND), "anchors")
-    anchors, anchors_at = _shared_anchors(found.where("NOT run").drop("run"))
-    lists = anchors.where("needed").groupBy("k1", "k2", "hot").agg(F.collect_list(F.struct("h", "single", "at", "first", "last")).alias("wanted"))
-    wanted, wanted_at = written_at(lists, "wanted-contexts")
-    paths = [found_at, anchors_at, wanted_at]
-    schema = "h long, single boolean, k1 long, k2 long, at int, first int, last int, bytes binary"
-    contexts = _beside(source, wanted.where("NOT hot").drop("hot"), "wanted", "inner").mapInArrow(lambda b: _contexts(span, b), schema)
-    decided = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _decide(span, b), "k1 long, k2 long, first int, last int")
-    runs = decided.unionByName(found.where("run").select("k1", "k2", "first", "last"))
-    runs = runs.unionByName(anchors.where("covered").select("k1", "k2", "first", (F.col("last") + span).alias("last")))
-    hot = wanted.where("hot").drop("hot")
-    if not hot.isEmpty():
-        runs = runs.unionByName(_hot_runs(source, hot, span, paths))
+    found, at = written_at(source.mapInArrow(lambda b: _find(span, b), _FOUND), "anchors")
+    paths, width, runs = [at], span, []
+    while True:
+        runs.append(found.where("run").select("k1", "k2", "first", "last"))
+        # A run of one window is named by the window, so its contexts are one.
+        anchors, anchors_at = _shared_anchors(found.where("NOT run").drop("run"), hot if width > 1 else 2**31 - 1)
+        runs.append(anchors.where("covered").select("k1", "k2", "first", (F.col("last") + span).alias("last")))
+        lists = anchors.where("needed").groupBy("k1", "k2", "hot").agg(F.collect_list(F.struct("h", "single", "at", "first", "last")).alias("wanted"))
+        wanted, wanted_at = written_at(lists, "wanted-contexts")
+        schema = "h long, single boolean, k1 long, k2 long, at int, first int, last int, bytes binary"
+        contexts = _beside(source, wanted.where("NOT hot").drop("hot"), "wanted", "inner").mapInArrow(lambda b: _contexts(span, b), schema)
+        runs.append(contexts.repartition("h").mapInArrow(lambda b: _decide(span, keep, b), "k1 long, k2 long, first int, last int"))
+        paths += [anchors_at, wanted_at]
+        again = wanted.where("hot").drop("hot")
+        if again.isEmpty():
+            break
+        width = -(-width // PARTS)
+        longer = _beside(source, again, "wanted", "inner").mapInArrow(lambda b, w=width: _lengthen(span, w, b), _FOUND)
+        found, at = written_at(longer, "longer-anchors")
+        paths.append(at)
     if words:
-        runs = runs.unionByName(_short_runs(source, span, words, paths))
-    lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        runs.append(_short_runs(source, span, words, paths))
+    lists = reduce(DataFrame.unionByName, runs).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans, _ = written_at(lists.mapInArrow(_merge_runs, "k1 long, k2 long, spans array<long>"), "repeated-spans")
     for path in paths:
         remove(path)
@@ -444,26 +432,28 @@ def kept_bytes(text: bytes, spans: list[int] | None) -> bytes:
 
 def _digest(batches):
     for batch in batches:
-        cols: list[list] = [[] for _ in range(4)]
+        cols: list[list] = [[] for _ in range(5)]
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             kept = kept_bytes(text, spans)
-            for c, v in zip(cols, (len(text), len(text) - len(kept), len(spans or []) // 2, hashlib.sha256(kept).hexdigest()), strict=True):
+            row = (len(text), len(text) - len(kept), len(spans or []) // 2, hashlib.sha256(kept).hexdigest(), kept_text(text, spans))
+            for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def with_spans(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, span: int = SPAN, words: int | None = None, **options) -> DataFrame:
     """keyed() documents with the column spans, null where nothing is repeated."""
     rows = keyed(docs)
-    return _beside(rows, repeated_spans(rows, span, words), "spans", "left")
+    return _beside(rows, repeated_spans(rows, span, words, **options), "spans", "left")
 
 
-def removed_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 per document."""
+def removed_spans(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that stays, in whole characters, per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = with_spans(docs.select("doc_id", "text"), span)
-    return rows.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = with_spans(docs.select("doc_id", "text"), span, **options)
+    return rows.select("doc_id", "text", "spans").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def kept_text(text: bytes, spans: list[int] | None) -> str:
@@ -486,7 +476,7 @@ def op8_induced_spans(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, s, md5_number(substr(h, 2 * s + 1, 800)) AS x FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d)),
 t AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
 m AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (x)),
@@ -494,6 +484,11 @@ g AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM m),
 i AS (SELECT r, g, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY r, g),
 k AS (SELECT r, g, b AS a, lead(a) OVER (PARTITION BY r ORDER BY g) AS b FROM i UNION ALL SELECT r, 0, 0, min(a) FROM i GROUP BY r),
 c AS (SELECT k.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY g) AS h FROM k JOIN d USING (r) GROUP BY k.r),
+-- whole characters: a run begins behind, and ends before, a character that it holds in part
+e AS (SELECT i.r, g, a + (length(substr(h, 2 * a + 1, 6)) - length(regexp_replace(substr(h, 2 * a + 1, 6), '^([89AB].)+', ''))) // 2 AS a,
+    b - CASE WHEN substr(h, 2 * b + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN substr(h, 2 * b - 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, 2 * b - 3, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS b FROM i JOIN d USING (r)),
+l AS (SELECT r, g, b AS a, lead(a) OVER (PARTITION BY r ORDER BY g) AS b FROM e UNION ALL SELECT r, 0, 0, min(a) FROM e GROUP BY r),
+o AS (SELECT l.r, decode(unhex(string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY g))) AS text FROM l JOIN d USING (r) GROUP BY l.r),
 n AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM i GROUP BY r)
-SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(c.h, d.h))) AS kept_sha256
-FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(c.h, d.h))) AS kept_sha256, coalesce(o.text, d.text, '') AS text
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN o USING (r)"""

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 64
-IN_MEMORY = 200_000
+IN_MEMORY = 20_000  # tuples of one queue; about 6 MB
 
 
 class DiskQueue:
@@ -90,19 +90,19 @@ def _heads_share(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.minimum(shared, np.minimum([len(x) for x in a], [len(x) for x in b]))
 
 
-def induce(group: np.ndarray, length: np.ndarray, block, depth: int = 0, items: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def induce(group: np.ndarray, length: np.ndarray, block, keep: int = IN_MEMORY, depth: int = 0, items: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings within their groups, and each one's common prefix with the one before it in its group.
 
-    block(i, depth) gives string i's block at that depth.
+    block(i, depth) gives string i's block at that depth. A queue holds `keep` tuples in memory.
     """
     items = np.arange(len(length)) if items is None else items
     tails = items[length[items] > (depth + 1) * BLOCK]
     rank, below = np.zeros(len(length), np.int64), np.zeros(1, np.int64)
     if len(tails):
-        order, common = induce(group, length, block, depth + 1, tails)
+        order, common = induce(group, length, block, keep, depth + 1, tails)
         rank[order] = np.arange(1, len(order) + 1)
         below = np.append(common, 0)
-    queue = DiskQueue()
+    queue = DiskQueue(keep)
     for i, g, r in zip(items.tolist(), group[items].tolist(), rank[items].tolist(), strict=True):
         queue.push((g, block(i, depth), r, i))
     order, common = np.empty(len(items), np.int64), np.zeros(len(items), np.int64)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, topk_exact, warc
+from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, suffixes, topk_exact, warc
 from lodestone.llm.common import shared_path
 from tests.llm.conftest import SCHEMA, as_rows, document_rows, edited, prose
 
@@ -84,13 +84,14 @@ def test_packed_sequences_hold_the_ids(documents):
         assert rows[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|>", "a" * 5000, " " * 3000 + "x", "日本語 テキスト", "\n\n\t mixed  \r\n", "it's we'll I'D"])
+@pytest.mark.parametrize("text", ["<|endoftext|>", "end <|endoftext|> of", "a" * 5000, " " * 3000 + "x", "日本語 テキスト", "\n\n\t mixed  \r\n", "it's we'll I'D"])
 def test_the_encoder_agrees_with_the_file(text):
+    """The tokenizer as the contract calls it, its special token included."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    assert packing._encoder(packing.load_ranks(packing.default_vocabulary()))(text) == t.encode(text, add_special_tokens=False).ids
+    path = packing.default_vocabulary()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing._encoder(packing.load_ranks(path), packing.load_special(path))(text) == want
 
 
 def test_special_tokens_in_texts_are_those_of_the_file(spark):
@@ -301,33 +302,87 @@ def test_repeated_spans(documents, nothing, span):
     assert dedup_spans.removed_spans(nothing, span).count() == 0
 
 
-def test_repeated_spans_of_many_variants(spark, monkeypatch):
-    """Groups of one anchor on both sides of the pairwise bound, slices, spilled runs and shuffled lists."""
-    base = prose(1, 200)
-    rows = [(k, edited(base, k, 1 + k % 9), "en", "s", 1) for k in range(90)] + [(100, "ab" * 900, "en", "s", 1), (101, "c" + "ab" * 700, "en", "s", 1)]
-    docs, want = spark.createDataFrame(rows, SCHEMA), order(brute_spans(rows, 200))
-    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert as_rows(dedup_spans.removed_spans(docs, 200), *columns) == want
-    monkeypatch.setattr(dedup_spans, "PAIRWISE", 4)
-    monkeypatch.setattr(dedup_spans, "SLICE", 300)
-    monkeypatch.setattr(dedup_spans, "FLUSH", 50)
-    monkeypatch.setattr(dedup_spans, "BROADCAST_ROWS", 0)
-    assert as_rows(dedup_spans.removed_spans(docs, 200), *columns) == want
+SPANS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("span", [400, 64])
-def test_repeated_spans_of_hot_anchors(spark, documents, monkeypatch, span):
-    """Anchors whose contexts are too many for one task: windows are counted by hash."""
-    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def variants() -> list[tuple]:
+    """Anchors of many contexts: a line among other words each time, edited copies, periods."""
     line, base = prose(77, 12), prose(1, 200)
     rows = [(k, f"{prose(k, 60)} {line} {prose(k + 900, 60)}", "en", "s", 1) for k in range(60)]
-    rows += [(100 + k, edited(base, k, 1 + k % 9), "en", "s", 1) for k in range(60)] + [(200, "ab" * 900, "en", "s", 1), (201, "c" + "ab" * 700, "en", "s", 1)]
-    monkeypatch.setattr(dedup_spans, "HOT", 3)
-    assert as_rows(dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), span), *columns) == order(brute_spans(rows, span))
-    assert as_rows(dedup_spans.removed_spans(documents, span), *columns) == order(brute_spans(ROWS, span))
-    monkeypatch.setattr(dedup_spans, "STRIDE", 50)
-    monkeypatch.setattr(dedup_spans, "HOT", 0)
-    assert as_rows(dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), span), *columns) == order(brute_spans(rows, span))
+    rows += [(100 + k, edited(base, k, 1 + k % 9), "en", "s", 1) for k in range(60)]
+    return rows + [(200, "ab" * 900, "en", "s", 1), (201, "c" + "ab" * 700, "en", "s", 1)]
+
+
+@pytest.mark.parametrize(("span", "hot", "keep"), [(400, 1000, 7), (64, 3, 20_000), (400, 3, 7), (64, 0, 7)])
+def test_repeated_spans_of_hot_anchors(spark, documents, monkeypatch, span, hot, keep):
+    """Anchors are lengthened until few contexts share them, queues spill, lists are joined by shuffle: the same bytes go."""
+    monkeypatch.setattr(dedup_spans, "BROADCAST_ROWS", 0)
+    rows = variants()
+    assert as_rows(dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), span, hot=hot, keep=keep), *SPANS) == order(brute_spans(rows, span))
+    assert as_rows(dedup_spans.removed_spans(documents, span, hot=hot, keep=keep), *SPANS) == order(brute_spans(ROWS, span))
+
+
+def test_a_common_passage_in_very_many_rows(spark):
+    """One line in a third of all rows and one passage in another third, as the check tables have them, and a long text."""
+    line, passage = prose(5, 20), prose(6, 90)
+    texts = [prose(k, 30) + (f" {line} " if k % 3 == 0 else f" {passage} " if k % 3 == 1 else " ") + prose(k + 3000, 30) for k in range(600)]
+    texts.append(" ".join(prose(k + 9000, 500) for k in range(60)) + passage)
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    got = dedup_spans.removed_spans(spark.createDataFrame(rows, SCHEMA), hot=50).collect()
+    assert order([tuple(r)[:5] for r in got]) == order(brute_spans(rows, 400))
+    assert all(passage not in r["text"] and (r["doc_id"] % 3 or r["doc_id"] == 600 or line in r["text"]) for r in got)
+
+
+def test_sorting_spills_and_agrees_with_sorted():
+    """Suffixes of a shard that is larger than the queue: runs reach the disk, and order and common prefixes are exact."""
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.choice(list(b"ab"), rng.integers(0, 300))) for _ in range(200)]
+    strings += [s + b"tail" for s in strings[:60]] + strings[:20] + [b"x" * 700 + bytes([65 + k % 3]) for k in range(40)]
+    group = np.array([k % 7 for k in range(len(strings))])
+    written = []
+
+    class Counted(suffixes.DiskQueue):
+        def _spill(self):
+            written.append(len(self.buffer))
+            super()._spill()
+
+    before, suffixes.DiskQueue = suffixes.DiskQueue, Counted
+    try:
+        found, common = suffixes.induce(group, np.array([len(s) for s in strings]), lambda i, d: strings[i][d * 64 : d * 64 + 64], keep=16)
+    finally:
+        suffixes.DiskQueue = before
+    assert len(written) > 20 and max(written) == 16
+    assert [(group[i], strings[i]) for i in found] == sorted((group[i], s) for i, s in enumerate(strings))
+    for a, b, n in zip(found, found[1:], common[1:], strict=False):
+        x, y = strings[a], strings[b]
+        shared = next((k for k, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+        assert n == (shared if group[a] == group[b] else 0)
+
+
+@pytest.mark.parametrize(("pairwise", "part"), [(4, 300), (10_000, 1 << 20)])
+def test_slices_and_both_ways_of_comparing(monkeypatch, pairwise, part):
+    """Worker functions in this process, so that their limits can be set."""
+    monkeypatch.setattr(dedup_spans, "PAIRWISE", pairwise)
+    monkeypatch.setattr(dedup_spans, "SLICE", part)
+    rows, span = variants(), 200
+    texts = [r[1].encode() for r in rows]
+    keys = np.arange(len(rows))
+    table = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(texts, pa.binary())], ["k1", "k2", "text"])
+    # Every context goes through the sort, those that are equal as a whole too.
+    wanted = [[] for _ in rows]
+    for batch in dedup_spans._find(span, [table.slice(k, 1) for k in range(len(rows))]):
+        for r in batch.to_pylist():
+            if not r["run"]:
+                wanted[r["k1"]].append({"h": r["h"], "single": True, "at": r["at"], "first": r["first"], "last": r["last"]})
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("single", pa.bool_()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+    contexts = list(dedup_spans._contexts(span, [table.append_column("wanted", pa.array(wanted, kind))]))
+    cover = [bytearray(len(t)) for t in texts]
+    found = [r for b in dedup_spans._decide(span, 50, contexts) for r in b.to_pylist()]
+    # Runs inside one row that _find has noted itself.
+    found += [r for b in dedup_spans._find(span, [table.slice(k, 1) for k in range(len(rows))]) for r in b.to_pylist() if r["run"]]
+    for r in found:
+        cover[r["k1"]][r["first"] : r["last"]] = b"\1" * (r["last"] - r["first"])
+    assert [sum(c) for c in cover] == [r[2] for r in brute_spans(rows, span)]
 
 
 def test_characters_stay_whole():
