@@ -21,7 +21,11 @@ Texts are read whole, A-Z in lower case. With fewer words than a shingle has, th
 whole sequence is one shingle; without words, or without text, a document's set
 is empty and it is linked with nothing. Shingles are compared by 64-bit
 fingerprints, sets by 128-bit ones. Null doc_ids are never a component's id
-unless it has no other; rows that repeat a doc_id share its decision.
+unless it has no other; in near_duplicates() rows that repeat a doc_id share its
+decision. distinct_documents() decides by row instead: of each group one row
+stays, and rows are told apart by all their columns, so neither null nor repeated
+doc_ids make one document of several. Empty tables give empty ones; other
+columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import remove, small_batches, written, written_at
@@ -156,6 +160,12 @@ def set_ids(sets: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _row_keys(columns: list[str]) -> dict:
+    """A 128-bit key of a row: two hashes of its values, of which nulls are told apart."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return {"__k1": F.xxhash64(F.lit(1), *values), "__k2": F.xxhash64(F.lit(2), *values)}
+
+
 def _describe(words: int, batches):
     for batch in batches:
         sets = shingle_sets(batch.column("text").to_pylist(), words)
@@ -165,8 +175,9 @@ def _describe(words: int, batches):
         if full:
             for i, k in zip(full, band_keys(signatures([sets[i] for i in full])), strict=True):
                 keys[i] = k
-        arrays = [batch.column("doc_id"), pa.array(set_ids(sets), pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "cid", "n", "bands"])
+        own = ["doc_id", "__k1", "__k2"]
+        arrays = [*(batch.column(c) for c in own), pa.array(set_ids(sets), pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, [*own, "cid", "n", "bands"])
 
 
 def _emit_sets(words: int, batches):
@@ -247,7 +258,7 @@ def _confirm(threshold: int, table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())}, schema)
 
 
-def confirmed_links(docs: DataFrame, rows: DataFrame, words: int, threshold: int) -> DataFrame:
+def confirmed_links(source: DataFrame, rows: DataFrame, words: int, threshold: int) -> DataFrame:
     """(u, v) links between classes, confirmed on full sets, that span every component."""
     keyed = rows.where("n > 0").select(F.explode("bands").alias("key"), "cid")
     # Written, so that the join below has an exchange on both sides and a key of very many rows can be split.
@@ -255,7 +266,7 @@ def confirmed_links(docs: DataFrame, rows: DataFrame, words: int, threshold: int
     edges = keyed.join(shared, "key").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
     roots = components(edges)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    picked = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    picked = rows.where("n > 0").groupBy("cid").agg(F.min(F.struct("__k1", "__k2")).alias("rep"), F.first("n").alias("n"))
     picked = written(picked.join(clusters, F.col("cid") == F.col("node")).select("cid", "rep", F.col("root").alias("cluster"), "n"), "near-classes")
     weights = picked.groupBy("cluster").agg(F.sum("n").alias("n")).select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     total = picked.agg(F.sum("n")).first()[0] or 0
@@ -267,32 +278,65 @@ def confirmed_links(docs: DataFrame, rows: DataFrame, words: int, threshold: int
         F.concat_ws("-", F.hex("cluster"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
     )
     placed = placed.select("cid", "cluster", task.alias("task"))
-    ids = picked.select(F.col("rep").alias("__rep")).distinct()
-    ids = F.broadcast(ids) if picked.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    sets = texts.mapInArrow(partial(_emit_sets, words), "cid binary, shingles array<long>").join(placed, "cid")
+    reps = picked.select("rep.__k1", "rep.__k2")
+    reps = F.broadcast(reps) if picked.count() <= BROADCAST_IDS else reps
+    texts = source.join(reps, ["__k1", "__k2"], "left_semi").select("__k1", "__k2", "text")
+    # Rows that repeat a whole row have one key; one of their sets is enough.
+    sets = texts.select("text").mapInArrow(partial(_emit_sets, words), "cid binary, shingles array<long>").join(placed, "cid")
     return sets.groupBy("task").applyInArrow(lambda table: _confirm(threshold, table), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the group) and kept, per document."""
+def _classes(docs: DataFrame, columns: list[str], words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __k1, __k2, cid, n, bands) per row, and (node, root) of the classes that are linked to a smaller one."""
     small_batches(docs.sparkSession, 1000)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = written(source.mapInArrow(partial(_describe, words), f"doc_id {kind}, cid binary, n long, bands array<long>"), "near-rows")
-    links, path = written_at(confirmed_links(docs, rows, words, threshold), "near-links")
+    source = docs.withColumns(_row_keys(columns)).select("doc_id", "__k1", "__k2", F.col("text").cast("binary").alias("text"))
+    rows = written(source.mapInArrow(partial(_describe, words), f"doc_id {kind}, __k1 long, __k2 long, cid binary, n long, bands array<long>"), "near-rows")
+    links, path = written_at(confirmed_links(source, rows, words, threshold), "near-links")
     roots = components(links)
     remove(path)
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
+    return rows, roots
+
+
+def _lowest(rows: DataFrame, roots: DataFrame, value: Column) -> DataFrame:
+    """(cid, lowest) of each class that is not empty: the smallest value in its group."""
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min(value).alias("low"))
     classes = written(classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root")), "near-roots")
-    lows = written(classes.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-lows")
-    classes = classes.join(lows, "root", "left").select("cid", F.when(F.col("lowest").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
+    lows = written(classes.groupBy("root").agg(F.min("low").alias("of_group"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-lows")
+    return classes.join(lows, "root", "left").select("cid", F.when(F.col("of_group").isNull(), F.col("low")).otherwise(F.col("of_group")).alias("lowest"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the group) and kept, per document."""
+    rows, roots = _classes(docs, ["doc_id", "text"], words, threshold)
+    classes = _lowest(rows, roots, F.col("doc_id"))
     slim = rows.select("doc_id", "cid", F.col("n").alias("n_shingles"))
-    out = slim.where("n_shingles > 0").join(classes, "cid").select("doc_id", "n_shingles", "component_id")
+    out = slim.where("n_shingles > 0").join(classes, "cid").select("doc_id", "n_shingles", F.col("lowest").alias("component_id"))
     out = out.unionByName(slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def distinct_documents(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each group, the one of the smallest doc_id, and all rows without words, with the columns of docs.
+
+    Where rows of a group share that doc_id, or have none, their keys decide; of rows that are equal in all columns one stays.
+    """
+    rows, roots = _classes(docs, docs.columns, words, threshold)
+    key = ["__k1", "__k2"]
+    classes = _lowest(rows, roots, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key))
+    met = rows.where("n > 0").select("cid", *key).join(classes, "cid")
+    stays = (F.col("__k1") == F.col("lowest.__k1")) & (F.col("__k2") == F.col("lowest.__k2"))
+    decided = written(met.groupBy(*key).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "near-decisions")
+    beside = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    keyed = docs.withColumns(_row_keys(docs.columns))
+    out = keyed.join(beside(decided.select(*key)), key, "left_anti").select(*docs.columns)
+    again = decided.where("stays").select(*key)
+    if again.isEmpty():
+        return out
+    first = keyed.join(beside(again), key, "left_semi").groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+
+
 def op3_minmax_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
 

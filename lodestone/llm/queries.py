@@ -22,5 +22,5 @@ ORACLES = {
     "op5_warc_roundtrip": warc.OP5_SQL,
     "op8_induced_spans": dedup_spans.OP8_SQL,
     "op6_uniform_threshold": topk_exact.OP6_SQL,
-    "op10_pareto_mix": mixing.OP10_SQL,
+    "op10_pareto_mix": mixing.oracle(),
 }

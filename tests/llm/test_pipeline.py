@@ -1,6 +1,7 @@
 """The stages on a small corpus with junk, copies and shared passages, and the queries' columns."""
 
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 from lodestone.llm import queries
@@ -65,6 +66,53 @@ def test_repeated_passages_of_short_words(spark):
     assert all(got[k]["n_chars"] == len(t) for k, t in enumerate(want) if t is not None)
 
 
+def stage_rows() -> list[tuple]:
+    """Null and repeated doc_ids of different texts, nulls in every column, empty and very long texts, ties, repeated rows."""
+    long, same = " ".join(prose(k + 500, 500) for k in range(80)), prose(40, 70)
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(3, 60)), (5, prose(4, 60)), (5, prose(5, 60)), (6, prose(6, 60))]
+    rows += [(7, None), (8, ""), (None, None), (9, long), (10, same), (11, same), (11, same), (None, same), (12, edited(same, 3, 2)), (13, "one two"), (13, "one two"), (8, "")]
+    return [(i, t, "en" if k % 4 else None, None if k % 5 == 0 else f"s{k % 3}", None if t is None or k % 7 == 0 else len(t)) for k, (i, t) in enumerate(rows)]
+
+
+def test_stages_on_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Each stage's own rows against brute force: no document goes for its doc_id, one of each group stays."""
+    rows = stage_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+    first = corpus_pipeline.quality_classifier(spark, docs, sf)
+    assert sorted(map(tuple, first.collect()), key=key) == sorted(rows, key=key)
+    once = written(corpus_pipeline.near_dedup(spark, docs, sf), "test-near")
+    got = [tuple(r) for r in once.collect()]
+    group = lambda t: "same" if t and t.split()[:1] == prose(40, 70).split()[:1] and len(t.split()) == 70 else t
+    words = [r for r in got if r[1]]
+    assert Counter(group(r[1]) for r in words) == Counter({group(r[1]) for r in rows if r[1]})
+    assert [r[0] for r in words if group(r[1]) == "same"] == [10]
+    assert sorted((r for r in got if not r[1]), key=key) == sorted((r for r in rows if not r[1]), key=key)
+    cut = corpus_pipeline.repeated_passages(spark, docs, sf).collect()
+    assert len(cut) == len(rows) and all((r["text"] or "") == "" for r in cut if r["doc_id"] in (10, 11)) and [r["text"] for r in cut if r["doc_id"] == 9] == [rows[9][1]]
+    assert sum(r["text"] is None for r in cut) == 2
+    mixed = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()]
+    assert set(mixed) <= set(rows) and all(n <= 3 * rows.count(r) for r, n in Counter(mixed).items()) and all(r[1] for r in mixed)
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in rows)
+    spark.createDataFrame(rows[:6], SCHEMA).write.parquet(f"{sf}/six/documents.parquet")
+    six = written(corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{sf}/six/documents.parquet"), sf), "test-six")
+    assert sorted(map(tuple, six.collect()), key=key) == sorted(rows[:6], key=key)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0 and (name == "pack_sequences" or out.columns == corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
