@@ -11,6 +11,10 @@ All but the last stage return the columns of documents, and those alone. A stage
 rows that its predecessor kept. n_chars follows the text where it is cut. A
 document of which nothing stays keeps its row, with an empty text, until mixing
 takes no words of it.
+
+Rows are told apart by all their columns, so null and repeated doc_ids are documents
+of their own. Null and empty texts pass the stages as they are and have no words.
+Empty tables pass all of them.
 """
 
 from __future__ import annotations
@@ -39,22 +43,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A kept doc_id that stands twice is one document: its first row by text stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = F.broadcast(kept) if kept.count() <= neardup.BROADCAST_IDS else kept
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1")
-    if not twice.limit(1).count():
-        return rows.select(*COLUMNS)
-    first = F.min(F.struct(*COLUMNS[1:])).alias("row")
-    return rows.groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"row.{c}") for c in COLUMNS[1:]])
+    return neardup.distinct_documents(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    rows = dedup_spans.with_spans(docs.select(*COLUMNS), PASSAGE, WORDS)
+    rows = dedup_spans.with_spans(docs.select(*COLUMNS, F.col("text").isNull().alias("__none")), PASSAGE, WORDS)
     cut = F.pandas_udf(_cut, "string")
-    text = F.when(F.col("spans").isNull(), F.col("text").cast("string")).otherwise(cut("text", "spans"))
+    text = F.when(F.col("__none"), F.lit(None)).when(F.col("spans").isNull(), F.col("text").cast("string")).otherwise(cut("text", "spans"))
     rows = rows.withColumn("__text", text)
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
     return rows.withColumn("n_chars", n_chars).withColumn("text", F.col("__text")).select(*COLUMNS)
