@@ -69,10 +69,15 @@ class Range:
         x = F.try_variant_get(v, "$", "double")
         number = F.regexp_like(F.schema_of_variant(v), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
         ok = number & ~F.isnan(x)
-        for bound, compare in ((self.lt, x < F.lit(self.lt)), (self.gt, x > F.lit(self.gt)), (self.lte, x <= F.lit(self.lte)), (self.gte, x >= F.lit(self.gte))):
-            if bound is not None:
-                above = math.isnan(bound)
-                ok = ok & (F.lit(bound is self.lt or bound is self.lte) if above else compare)
+        # Everything is below a bound of NaN, nothing above it.
+        if self.lt is not None and not math.isnan(self.lt):
+            ok = ok & (x < self.lt)
+        if self.lte is not None and not math.isnan(self.lte):
+            ok = ok & (x <= self.lte)
+        if self.gt is not None:
+            ok = ok & (F.lit(False) if math.isnan(self.gt) else x > self.gt)
+        if self.gte is not None:
+            ok = ok & (F.lit(False) if math.isnan(self.gte) else x >= self.gte)
         return _true_or_false(ok)
 
 
@@ -198,26 +203,33 @@ class Filter:
         return out & reduce(lambda a, b: a | b, every(self.should)) if self.should else out
 
 
+#: What an entry of the grammar may hold for a field, and the condition it stands for.
+_GRAMMAR = {
+    "match": lambda path, spec: Match(path, (spec["value"],)),
+    "match_any": lambda path, spec: Match(path, tuple(spec["any"])),
+    "range": lambda path, spec: Range(path, **{name: float(bound) for name, bound in spec.items() if bound is not None}),
+}
+
+
+def _conditions(entries: list[dict] | None) -> list:
+    """One condition for each kind of each field of each entry, so an entry may name several of either."""
+    found = []
+    for entry in entries or []:
+        for path, kinds in entry.items():
+            for kind, spec in kinds.items():
+                if kind not in _GRAMMAR:
+                    raise Unsupported(f"condition {kind}")
+                found.append(_GRAMMAR[kind](path, spec))
+    return found
+
+
 def from_json(conditions: dict | None) -> Filter:
-    """Conditions as data sets write them: an object with the lists `and` and `or`, whose entries map a field to match, match_any or range."""
-    if not conditions:
-        return Filter()
-    unknown = set(conditions) - {"and", "or"}
-    if unknown:
-        raise Unsupported(f"condition {sorted(unknown)[0]}")
-
-    def one(entry: dict):
-        (path, body), = entry.items()
-        (kind, spec), = body.items()
-        if kind == "match":
-            return Match(path, (spec["value"],))
-        if kind == "match_any":
-            return Match(path, tuple(spec["any"]))
-        if kind == "range":
-            return Range(path, **{k: float(v) for k, v in spec.items() if v is not None})
-        raise Unsupported(f"condition {kind}")
-
-    return Filter(must=[one(e) for e in conditions.get("and") or []], should=[one(e) for e in conditions.get("or") or []])
+    """The JSON form of conditions: {"and": [entry, ...], "or": [entry, ...]}, each entry {field: {kind: what it asks for}}."""
+    given = dict(conditions or {})
+    out = Filter(must=_conditions(given.pop("and", None)), should=_conditions(given.pop("or", None)))
+    if given:
+        raise Unsupported(f"condition {min(given)}")
+    return out
 
 
 def refuse(name: str) -> None:

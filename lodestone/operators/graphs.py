@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
-    """Nodes u that can be reached from seeds (u) along edges (u, v); each round is checkpointed once the plan is four steps deep."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes u that can be reached from seeds (u) along edges (u, v), however far; plans are cut every four steps."""
     seen = seeds.select("u").distinct()
-    frontier, checkpoints = seen, bool(edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined())
-    for n in range(rounds):
+    frontier, checkpoints, steps = seen, bool(edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()), 0
+    while not frontier.isEmpty():
         frontier = edges.join(frontier, "u").select(F.col("v").alias("u")).distinct().join(seen, "u", "left_anti")
-        seen = seen.unionByName(frontier)
-        if n % 4 == 3 and checkpoints:
+        seen, steps = seen.unionByName(frontier), steps + 1
+        if steps % 4 == 0 and checkpoints:
             frontier, seen = frontier.checkpoint(), seen.checkpoint()
-        if not frontier.limit(1).count():
-            break
     return seen
 
 

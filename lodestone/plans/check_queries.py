@@ -53,7 +53,11 @@ def rescored_ids(spark, sf_dir):
 
 
 def shipped_truth(spark, sf_dir):
-    return evaluate.shipped_truth_check(_truth(spark, sf_dir), _truth(spark, sf_dir), 1e-6)
+    """A truth that came with the data, spoiled at the first place of every other query, beside the one computed here."""
+    truth = _truth(spark, sf_dir)
+    spoiled = (F.col("rank") == 1) & (F.col("qid") % 100 == 0)
+    shipped = truth.withColumn("id", F.when(spoiled, F.lit(10**9)).otherwise(F.col("id")))
+    return evaluate.shipped_truth_check(shipped, truth, 1e-6)
 
 
 def truth_from_tests(spark, sf_dir):
@@ -164,7 +168,7 @@ ORACLES = {
     "offset_consistency": _ZERO,
     "bm25_filter_narrows": _ZERO,
     "value_equality": "SELECT 10 * count(*) AS n, true AS equal FROM embeddings WHERE vec_id % 50 = 0",
-    "shipped_truth": "SELECT vec_id AS qid, 'exact' AS verdict FROM embeddings WHERE vec_id % 50 = 0",
+    "shipped_truth": "SELECT vec_id AS qid, CASE WHEN vec_id % 100 = 0 THEN 'mismatch' ELSE 'exact' END AS verdict FROM embeddings WHERE vec_id % 50 = 0",
     "truth_from_tests": f"""SELECT qid, rank, "offset" AS id, score FROM ({knn_sql('dot')})""",
     "normalised_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3.5) AS v FROM embeddings) SELECT vec_id AS "offset", 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v""",
     "uint8_vectors": """SELECT vec_id AS "offset", array_to_string(list_transform(embedding, lambda x: trunc(least(greatest(x::DOUBLE * 900, 0), 255))::INTEGER), ',') AS code FROM embeddings""",

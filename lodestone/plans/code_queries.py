@@ -69,7 +69,7 @@ def ivf_knn(spark, sf_dir):
 
 
 def ivf_knn_filtered(spark, sf_dir):
-    return ann.search(ann.build(points(spark, sf_dir)), stated_queries(spark, sf_dir), "dot", 10, probes=16, where="label = 3").select("qid", "rank", "offset", F.round("score", 6).alias("score"))
+    return ann.search(ann.build(points(spark, sf_dir)), stated_queries(spark, sf_dir), "dot", 10, probes=PROBES, where="label = 3").select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
 
 def knn_delta_tail(spark, sf_dir):
@@ -151,7 +151,6 @@ r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM x) SELECT round(min
     "sq8_euclid_rescored": _sq8_sql(True, 40, "euclid"),
     "binary_hamming_knn": _binary_sql(False, 10),
     "binary_rescored": _binary_sql(True, 80),
-    "ivf_knn_filtered": knn_sql("dot", where="p.label = 3"),
     "knn_delta_tail": knn_sql("dot"),
     "label_knn_vote": """WITH k AS (""" + knn_sql("dot") + """), v AS (SELECT qid, label, count(*) AS votes FROM k JOIN embeddings ON vec_id = "offset" GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS n FROM v) SELECT qid, label, votes FROM r WHERE n = 1""",
