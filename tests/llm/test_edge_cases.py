@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, suffixes, topk_exact, warc
-from lodestone.llm.common import shared_path
+from lodestone.llm.common import shared_path, written
 from tests.llm.conftest import SCHEMA, as_rows, document_rows, edited, prose
 
 ROWS = document_rows()
@@ -238,18 +239,40 @@ def test_exact_search(spark):
             scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q))[:5]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     assert got == order(want)
-    # Many equal vectors: a cell hands on no more than k rows of a query.
+    # Of many equal vectors the smallest ids come first, and no more than k + 1 of them travel.
     same = spark.range(200).selectExpr("id AS vec_id", "array(1L, 2L) AS v")
-    ties = as_rows(topk_exact.search(same, same.where("vec_id = 0")), "rank", "vec_id")
-    assert ties == [(k, k) for k in range(1, 6)]
-    table = pa.table({"vec_id": np.arange(200), "v": [[1, 2]] * 200})
-    assert topk_exact._resolve(5, (), table, table.slice(0, 2).append_column("cutoff", pa.array([5, None]))).num_rows == 10
+    assert as_rows(topk_exact.search(same, same.where("vec_id IN (0, 100)")), "query_id", "rank", "vec_id") == [(0, k, k) for k in range(1, 6)] + [(100, k, k - 1) for k in range(1, 6)]
     few = vectors.where("vec_id IN (0, 1, 500)")
     assert topk_exact.search(few, few.where("vec_id = 0")).count() == 2
     none = vectors.where("vec_id < 0")
     assert topk_exact.search(none, none).count() == 0
 
 
+def test_only_entries_above_the_threshold_travel(spark, monkeypatch):
+    """Over several blocks: far fewer entries than pairs leave the cells, and each of them reaches its share of the cutoff."""
+    monkeypatch.setattr(topk_exact, "ROW_BLOCK", 100)
+    monkeypatch.setattr(topk_exact, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * rng.normal(size=(600, 32)) / np.sqrt(32)).astype(int)
+    rows = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<long>").withColumn("rid", F.col("vec_id") + 7)
+    queries = written(rows.where("vec_id % 20 = 0").drop("rid"), "test-queries")
+    sums, cutoffs = topk_exact.collected(rows, queries, 600, 30, 32, 5)
+    cut = {r["query_id"]: r["cutoff"] for r in cutoffs.collect()}
+    half = np.stack([v[:, :16] @ v[:, :16].T, v[:, 16:] @ v[:, 16:].T])
+    got = {(r["query_id"], r["vec_id"]): (r["known"], r["segments"]) for r in sums.collect()}
+    want = {}
+    for q in range(0, 600, 20):
+        for x in range(600):
+            parts = [int(h[q, x]) for h in half if 2 * h[q, x] >= cut[q]]
+            if x != q and parts:
+                want[q, x] = (sum(parts), len(parts))
+        assert cut[q] <= sorted(int(half[:, q, x].sum()) for x in range(600) if x != q)[-5]
+    assert got == want and len(got) < 0.15 * 30 * 600
+    found = as_rows(topk_exact.search(rows.drop("rid"), queries), "query_id", "rank", "vec_id", "score")
+    full = half.sum(axis=0)
+    assert found == [(q, r, x, int(full[q, x])) for q in range(0, 600, 20) for r, x in enumerate(sorted((x for x in range(600) if x != q), key=lambda x: (-full[q, x], x))[:5], 1)]
+
+
 # 7
 
 
