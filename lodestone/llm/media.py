@@ -8,8 +8,14 @@ one is filled up by a stuffing field. Reading parses the tables, checks the
 continuity counters, reassembles the elementary packets and returns bytes,
 timestamps and random-access points.
 
+The streams are written as a binary column to the shared folder and read from
+there. A stream of which a packet is missing, by its continuity counters, is
+refused; decode() alone can be told to count the breaks instead.
+
 Null texts are empty; a payload is the text's UTF-8 bytes, zero-padded to a
-positive multiple of 64. Equal texts give equal streams.
+positive multiple of 64. Equal texts and repeated rows give equal streams, one
+each. An empty table gives an empty one; other columns take no part, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches
+from lodestone.llm.common import small_batches, written
 
 PACKET, CHUNK, BLOCK = 188, 32_768, 64
 PAT_PID, PMT_PID, ES_PID, PROGRAM = 0, 0x1000, 0x0100, 1
@@ -131,7 +137,8 @@ def _section_of(packet: np.ndarray) -> bytes:
     return section
 
 
-def decode(media: bytes) -> Stream:
+def decode(media: bytes, strict: bool = False) -> Stream:
+    """The payload, timestamps and random-access points of a stream; strict ones have no breaks of the counters."""
     if not media or len(media) % PACKET:
         raise ValueError("a transport stream is whole packets of 188 bytes")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -150,6 +157,8 @@ def decode(media: bytes) -> Stream:
     counters = es[:, 3] & 15
     lost = int((np.diff(counters.astype(np.int16)) % 16 != 1).sum())
     begin = 4 + np.where(adapts, 1 + es[:, 4].astype(np.int64), 0)
+    if strict and lost:
+        raise ValueError(f"{lost} breaks of the continuity counter")
     data = es[_COLUMNS >= begin[:, None]]
     ends = np.cumsum(PACKET - begin)
     heads = np.flatnonzero(starts[mine])
@@ -196,7 +205,7 @@ def _read(batches):
     for batch in batches:
         cols = [[] for _ in range(8)]
         for media in batch.column("media").to_pylist():
-            s = decode(media)
+            s = decode(media, strict=True)
             row = (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(s), s.pts, s.random_access)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
@@ -213,4 +222,4 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def op7_transport_streams(spark, sf_dir: str) -> DataFrame:
-    return read(store(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("pts", "random_access")
+    return read(written(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))

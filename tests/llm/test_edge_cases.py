@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import dedup_spans, licenses, media, mixing, neardup, packing, quality, sharding, suffixes, topk_exact, warc
-from lodestone.llm.common import shared_path, written
+from lodestone.llm.common import written
 from tests.llm.conftest import SCHEMA, as_rows, document_rows, edited, prose
 
 ROWS = document_rows()
@@ -190,9 +191,8 @@ def test_shards_are_near_equal(spark):
 def test_warc_round_trip(spark):
     pages = [(1, "http://a b/ü", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>x</p>"), (5, "u", "WARC/1.0\r\n\r\nContent-Length: 9\r\n\r\n"), (6, "u", "é" * 3000), (4, "u", "<p>x</p>"), (None, "u", "z\n\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'c' AS sha", "'d' AS kept", "'e' AS payload")
-    path = shared_path(spark, "warc-test")
-    warc.write_archives(df, path)
-    got = as_rows(warc.read_archives(spark, path), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = warc.write_archives(df)
+    got = as_rows(warc.read_archives(archives), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     last = {}
     for p, _, h in pages:
         last[h or ""] = max(last.get(h or "", -1), -1 if p is None else p)
@@ -204,10 +204,42 @@ def test_warc_round_trip(spark):
     assert got == order(want)
 
 
+def test_archives_of_long_pages(spark, monkeypatch, tmp_path):
+    """Very long pages, archives bounded by bytes, one gzip member per record, dates and addresses of the data, files."""
+    pages = [(k, f"http://h{k % 3}.example/p", "<p>" + "é\r\n" * (700_000 if k == 4 else 40_000 * (k % 4)) + "</p>" * (k % 5), f"192.0.2.{k}", datetime(2003, 1, 1 + k, 4, 5, 6)) for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, ip string, fetched timestamp").coalesce(1)
+    legacy = warc.legacy_archives(df).collect()
+    assert len(legacy) == 1 and len(list(warc.read_arc(legacy[0]["content"]))) == 12
+    archives = warc.write_archives(df)
+    found = {r["page_id"]: r for r in warc.read_archives(archives).collect()}
+    for page_id, url, html, ip, _ in pages:
+        r = found[page_id]
+        assert (r["payload_bytes"], r["ip"], r["date"], r["url"]) == (len(html.encode()), ip, f"2003-01-{1 + page_id:02}T04:05:06Z", url)
+    warc.export(archives, f"file://{tmp_path}/out")
+    [file] = [f.read_bytes() for f in (tmp_path / "out").iterdir()]
+    members = 0
+    while file:
+        one = zlib.decompressobj(31)
+        assert one.decompress(file).startswith(b"WARC/1.0\r\n")
+        file, members = one.unused_data, members + 1
+    assert members == 13
+    plain = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(df.drop("ip", "fetched"))).collect()}
+    assert plain[3]["ip"] == plain[6]["ip"] != plain[4]["ip"] and plain[3]["date"] == "1996-09-23T14:22:06Z"
+
+
+def test_archives_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(warc, "ARC_BYTES", 100)
+    monkeypatch.setattr(warc, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 7})())}))
+    n = 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None] * n, pa.int64()), pa.array(["u"] * n), pa.array(["10.0.0.1"] * n), pa.array(["20010203040506"] * n), pa.array([b"x" * 40] * n, pa.binary())], ["page_id", "refers_to", "url", "ip", "date", "payload"])
+    files = [r for b in warc._arc_files([batch]) for r in b.to_pylist()]
+    assert [f["page_ids"] for f in files] == [[0, 1, 2], [3, 4, 5], [6, 7, 8]] and len({f["name"] for f in files}) == 3
+    assert [f["content"].split(b"\n")[1][:1] for f in files] == [b"1", b"2", b"1"]
+
+
 def test_warc_of_no_pages(spark):
-    path = shared_path(spark, "warc-test")
-    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
-    assert warc.read_archives(spark, path).count() == 0
+    none = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.count() == 0 and warc.read_archives(none).count() == 0
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -291,6 +323,33 @@ def test_transport_streams(documents, nothing):
     assert media.read(media.store(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 170, 171, 175, 176, 32_767, 32_768, 32_769, 65_536 + 176, 150_001])
+def test_streams_of_several_elementary_packets(n):
+    """Sizes around every edge: payloads, timestamps, random-access points, and counters that run on across packets."""
+    payload = bytes(k * k % 251 for k in range(n))
+    media_bytes = media.encode(payload)
+    s, chunks = media.decode(media_bytes, strict=True), -(-n // media.CHUNK)
+    assert s.payload == payload and s.lost == 0 and s.pts == [k * media.TICKS for k in range(chunks)]
+    packets = [media_bytes[i : i + 188] for i in range(0, len(media_bytes), 188)]
+    own = [p for p in packets if (p[1] & 0x1F) << 8 | p[2] == media.ES_PID]
+    assert [p[3] & 15 for p in own] == [k % 16 for k in range(len(own))]
+    assert s.random_access == [i for i, p in enumerate(packets) if p[1] & 0x40 and p in own] and len(s.random_access) == chunks
+    if len(own) > 2:
+        missing = b"".join(p for i, p in enumerate(packets) if i != len(packets) - 2)
+        assert media.decode(missing).lost == 1
+        with pytest.raises(ValueError):
+            media.decode(missing, strict=True)
+
+
+def test_stored_streams_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, prose(1, 20_000)), (2, None), (1, prose(1, 20_000))], "doc_id long, text string")
+    rows = media.read(written(media.store(docs), "test-media")).collect()
+    text = prose(1, 20_000).encode()
+    for r in rows:
+        assert r["payload_sha256"] == hashlib.sha256(media.payload_of(text if r["doc_id"] == 1 else b"")).hexdigest()
+        assert len(r["pts"]) == len(r["random_access"]) == (-(-len(media.payload_of(text)) // media.CHUNK) if r["doc_id"] == 1 else 1)
+
+
 def test_lost_packets_are_noticed():
     stream = media.encode(bytes(range(256)) * 40)
     assert media.decode(stream).lost == 0
