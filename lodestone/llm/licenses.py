@@ -1,17 +1,24 @@
 """License scans by a positional rare-token index.
 
-TEMPLATES are the licence notices looked for. Their words, with their positions,
-form the index; a first pass over all documents counts in how many of them each
-of these words stands, which gives the inverse document frequencies. A text is
-looked up by each template's RARE highest-IDF words of its mandatory key phrase
-only. The postings of those words are intersected by relative position (place in
-the text minus place in the template), which gives the places where the notice
-would begin; there its other words are compared, and the label holds only if the
-key phrase stands in the text, consecutively.
+TEMPLATES are the licence texts and notices looked for (license_texts.py). Their
+words, with their positions, form the index; a first pass over all documents
+counts in how many of them each of these words stands, which gives the inverse
+document frequencies. A template comes into question for a text that holds all
+words of its mandatory key phrase. The text's own licence words are then looked up
+from the highest IDF on: the postings of a word are intersected, by relative
+position (place in the text minus place in the template), with those of the
+words before it. Where RARE words agree on a place at which the template would
+begin, the key phrase is verified there, consecutively; a text that holds the
+template is thus recognised by its rarest words. If they do not agree on a place
+with the key phrase, further words are looked up until all of the key phrase are
+among them, so that no place of it can be missed. The score of a label is the best
+share, by IDF, of a template that stands around a place of its key phrase.
 
 Texts are read whole, as UTF-8, A-Z in lower case; words are runs of ASCII
 letters and digits and of all characters beyond ASCII. Null and empty texts have
-no words. Every row gives one row; equal texts give equal results.
+no words. Every row gives one row; equal texts and repeated rows give equal
+results, one each. An empty table gives an empty one; other columns take no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,76 +33,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
+from lodestone.llm.license_texts import TEMPLATES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 RARE = 2
 
 #: Base labels and their phrases; every place of a phrase counts.
 BASE = {"mit": (b"mit", b"license"), "apache": (b"apache", b"license"), "gpl": (b"general", b"public", b"license")}
-#: label, mandatory key phrase, notice
-TEMPLATES = [
-    ("mit", "mit license", "released under the mit license"),
-    ("mit", "mit license", "licensed under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "apache license", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("gpl", "general public license", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "lesser general public license", "this library is licensed under the gnu lesser general public license"),
-    ("agpl", "affero general public license", "this work is licensed under the gnu affero general public license"),
-    ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
-    ("cc0", "cc0 1 0 universal", "released under cc0 1 0 universal"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
-]
-
-
-VOCABULARY = frozenset(w for _, _, notice in TEMPLATES for w in notice.encode().split())
-
-
 class Index:
-    """Words of the templates with their positions, and the rare words by which each template is found."""
+    """The templates' words with their positions, and what each word is worth."""
 
     def __init__(self, df: dict[bytes, int], n_docs: int, templates=TEMPLATES, rare: int = RARE):
-        self.templates = [(label, tuple(key.encode().split()), tuple(notice.encode().split())) for label, key, notice in templates]
-        vocabulary = {w for _, _, notice in self.templates for w in notice}
-        self.idf = {w: math.log(1 + n_docs / (1 + df.get(w, 0))) + 1e-9 for w in vocabulary}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, key, notice) in enumerate(self.templates):
-            for w in sorted(set(key), key=lambda w: (-self.idf[w], w))[:rare]:
-                self.postings[w] += [(t, i) for i, x in enumerate(notice) if x == w]
-        self.rare = frozenset(self.postings)
-        self.needed = [sum(1 for w in self.postings if (t in {x for x, _ in self.postings[w]})) for t in range(len(self.templates))]
-        self.weight = [sum(self.idf[w] for w in notice) for _, _, notice in self.templates]
+        self.rare = rare
+        self.templates = [(label, tuple(words_of(key.encode())), tuple(words_of(text.encode()))) for label, key, text in templates]
+        self.postings: list[dict[bytes, list[int]]] = []  # per template: word to its positions
+        for _, _, text in self.templates:
+            at = defaultdict(list)
+            for i, w in enumerate(text):
+                at[w].append(i)
+            self.postings.append(dict(at))
+        self.vocabulary = frozenset(w for at in self.postings for w in at)
+        self.keys = [frozenset(key) for _, key, _ in self.templates]
+        self.idf = {w: math.log(1 + n_docs / (1 + df.get(w, 0))) + 1e-9 for w in self.vocabulary}
+        self.weight = [sum(self.idf[w] for w in text) for _, _, text in self.templates]
         self.key_at = [next(j for j in range(len(n)) if n[j : j + len(k)] == k) for _, k, n in self.templates]
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, place, score) of the best verified place of each template that the text's rare words point to."""
-        here = self.rare.intersection(words)
-        if not here:
+        """(label, place, score) of the best place of each template that the text's rarest words point to."""
+        here = self.vocabulary.intersection(words)
+        asked = [t for t, key in enumerate(self.keys) if key <= here]
+        if not asked:
             return []
-        votes: dict[tuple[int, int], set] = defaultdict(set)
-        for w in here:
-            for p in places_of(words, w):
-                for t, i in self.postings[w]:
-                    votes[t, p - i].add(w)
-        best: dict[int, tuple] = {}
-        for (t, start), found in votes.items():
-            label, key, notice = self.templates[t]
-            a = start + self.key_at[t]
-            if len(found) < min(self.needed[t], len(set(key))) or a < 0 or tuple(words[a : a + len(key)]) != key:
+        ranked = sorted(here, key=lambda w: (-self.idf[w], w))
+        seen: dict[bytes, list[int]] = {}
+        return [self._best(t, words) for t in asked if self._stands(t, ranked, words, seen)]
+
+    def _stands(self, t: int, ranked: list[bytes], words: list[bytes], seen: dict) -> bool:
+        postings, key, shift = self.postings[t], self.templates[t][1], self.key_at[t]
+        agree: Counter = Counter()
+        left, looked, refuted = set(key), 0, set()
+        for w in ranked:
+            if w not in postings:
+                continue
+            if w not in seen:
+                seen[w] = places_of(words, w)
+            agree.update({p - i for p in seen[w] for i in postings[w]})
+            left.discard(w)
+            looked += 1
+            if looked % self.rare and left:
                 continue
-            got = sum(self.idf[w] for i, w in enumerate(notice) if 0 <= start + i < len(words) and words[start + i] == w)
-            best[t] = max(best.get(t, (-1.0, 0)), (got / self.weight[t], -start))
-        return [(self.templates[t][0], -at, s) for t, (s, at) in sorted(best.items())]
+            for start in [x for x, n in agree.items() if n >= min(self.rare, looked) and x not in refuted]:
+                if start + shift >= 0 and tuple(words[start + shift : start + shift + len(key)]) == key:
+                    return True
+                refuted.add(start)
+            if not left:
+                return False
+        return False
+
+    def _best(self, t: int, words: list[bytes]) -> tuple[str, int, float]:
+        label, key, text = self.templates[t]
+        best = (-1.0, 0)
+        for place in phrase_places(words, key):
+            start = place - self.key_at[t]
+            got = sum(self.idf[w] for i, w in enumerate(text) if 0 <= start + i < len(words) and words[start + i] == w)
+            best = max(best, (got / self.weight[t], -start))
+        return label, -best[1], best[0]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+VOCABULARY = frozenset(w for _, _, text in TEMPLATES for w in words_of(text.encode()))
+
+
 def places_of(words: list[bytes], word: bytes) -> list[int]:
     out, i = [], -1
     for _ in range(words.count(word)):
@@ -159,9 +170,10 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The query in SQL: key phrases at any place, and the weighted share of their notice that stands around them."""
-    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
-    rows = ", ".join(f"({n}, '{label}', {quoted(key)}, {quoted(notice)}, {len(notice[: notice.index(key)].split())})" for n, (label, key, notice) in enumerate(TEMPLATES))
-    base = ", ".join(f"('{label}', {quoted(' '.join(w.decode() for w in phrase))})" for label, phrase in BASE.items())
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    index = Index({}, 0)
+    rows = ", ".join(f"({t}, '{label}', {quoted(key)}, {quoted(text)}, {index.key_at[t]})" for t, (label, key, text) in enumerate(index.templates))
+    base = ", ".join(f"('{label}', {quoted(phrase)})" for label, phrase in BASE.items())
     return rf"""
 WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
 t(t, label, key, notice, shift) AS (VALUES {rows}),

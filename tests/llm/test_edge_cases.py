@@ -49,6 +49,31 @@ def test_license_scan(documents, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_whole_licences_by_their_rarest_words():
+    """A text is found by its own rarest licence words; a key phrase whose rare words stand apart is still found, scattered words are not."""
+    from lodestone.llm.license_texts import APACHE, BSD, BSD_DISCLAIMER, BSD_NAMES, GPL_3, MIT
+
+    index = licenses.Index({b"software": 900, b"the": 1000, b"license": 500, b"tort": 1, b"noninfringement": 1}, 1000)
+    found = lambda t: {label: score for label, _, score in index.scan(licenses.words_of(t.encode()))}
+    assert found(f"{prose(1, 30)} {MIT} {prose(2, 30)}") == {"mit-text": 1.0}
+    assert found(f"{BSD} {BSD_NAMES} {BSD_DISCLAIMER}")["bsd-3-clause"] == 1.0 and "bsd-3-clause" not in found(f"{BSD} {BSD_DISCLAIMER}")
+    assert found(APACHE.upper()) == {"apache": 1.0, "apache-2.0": 1.0}
+    assert found(GPL_3)["gpl-3.0"] == 1.0 and "gpl-2.0" not in found(GPL_3)
+    # Rare words of the text stand elsewhere, so the first places they name are refuted.
+    half = " ".join(MIT.split()[:16])
+    assert 0 < found(f"noninfringement tort {prose(3, 9)} {half} tort noninfringement")["mit-text"] < 0.3
+    assert found("software this of copy a obtaining person any to charge of free granted hereby is permission") == {}
+    assert found(prose(4, 20_000) + " mit license")["mit"] > 0
+    # Words are looked up from the highest IDF on, and no further than needed.
+    looked = []
+    real, licenses.places_of = licenses.places_of, lambda words, w: looked.append(w) or real(words, w)
+    try:
+        assert index._stands(2, sorted(index.vocabulary.intersection(licenses.words_of(MIT.encode())), key=lambda w: (-index.idf[w], w)), licenses.words_of(MIT.encode()), {})
+    finally:
+        licenses.places_of = real
+    assert len(looked) == licenses.RARE and {b"software", b"the"}.isdisjoint(looked)
+
+
 # 2
 
 
