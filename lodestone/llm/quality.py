@@ -1,20 +1,27 @@
 """Quality classifier by co-training of two views.
 
-One view sees the text's content (character classes, repetition, word shapes),
-the other the page's metadata (source, language, length, line layout). Each is a
-logistic regression over binned features. Over ROUNDS rounds each view labels
-the unlabelled pool; its confident labels join the other view's training rows.
-Both views are then calibrated on held-out labelled rows, combined by a
-regression on their calibrated logits, and every document is scored.
+One view sees the text's content: its words (how much likelier each is in good
+than in bad documents, by WORDS hashed counts), character classes, repetition,
+word shapes. The other sees the page's metadata alone: source, language, their
+pair, and the length that the table states. Each is a logistic regression over
+binned features. Over ROUNDS rounds each view labels the unlabelled pool; its
+confident labels join the other view's training rows. Both views are then
+calibrated on labelled rows of their own, combined by a regression on their
+calibrated logits, and every document is scored.
 
 Fitting uses bounded samples chosen by a hash of doc_id: at most about LABELLED
-labelled rows, of which HELD_OUT are kept for calibration, and about POOL
-unlabelled ones. Scoring covers all rows and whole texts. The cut is the largest
-score that still keeps KEEP of the held-out rows of good quality.
+labelled rows and about POOL unlabelled ones. The labelled rows are split by
+another hash (PARTS): words are counted on one part, the views trained on the
+next, calibrated and combined on the third, the cut is set on the fourth, and
+the last, which nothing is fitted on, gives the accuracy in Model.report. Scoring
+covers all rows and whole texts. The cut is the largest score that still keeps
+KEEP of the fourth part's rows of good quality.
 
 Null and empty texts have zero counts, null metadata is a value of its own. With
-no labels, or labels of one class only, every document scores 1 and is kept.
-A doc_id that is labelled several times counts by its mean label.
+no labels, or labels of one class only in any part but the last, every document
+scores 1 and is kept. A doc_id that is labelled several times counts by its mean
+label; rows that repeat a doc_id are scored each. An empty table gives an empty
+one; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +38,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
 
-LABELLED, POOL, HELD_OUT = 12_000, 6_000, 0.3
+LABELLED, POOL = 12_000, 6_000
+#: Shares of the labelled rows: word counts, training, calibration, cut, report.
+PARTS = (0.25, 0.35, 0.16, 0.14, 0.10)
+COUNTED, TRAINED, CALIBRATED, CUT, REPORTED = range(5)
+WORDS = 1 << 14  # buckets of words
 ROUNDS, CONFIDENT, PER_ROUND = 4, 0.97, 1500
 BINS, HASHED = 12, 48
 KEEP = 0.999
@@ -40,7 +51,7 @@ _CLASS = np.zeros(256, np.int64)  # 0 other
 for _i, _chars in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\v\f", b"\n", b".,;:'\"?-()", b"!", b"#$%&*@", b"|<>{}[]=_/\\^~`+", range(128, 256)), 1):
     for _c in _chars:
         _CLASS[_c] = _i
-N_CONTENT, N_LAYOUT = 19, 5
+N_CONTENT = 18
 
 
 def content(text: bytes) -> list[float]:
@@ -55,16 +66,39 @@ def content(text: bytes) -> list[float]:
     ends = sum(1 for w in words if w[-1] in b"!#$%&*|@") / m
     marks = sum(1 for w in words if len(w) < 3 and not w.isalnum() and w.isascii()) / m
     halves = len({*words[: m // 2]} & {*words[m // 2 :]}) / m
-    return [*counts[:10].tolist(), len({*words}) / m, bare, sum(map(eq, words, words[1:])) / m, chars, counts[2] / max(letters, 1e-9), ends, marks, halves, float(np.log1p(m))]
+    return [*counts[:10].tolist(), len({*words}) / m, bare, sum(map(eq, words, words[1:])) / m, chars, counts[2] / max(letters, 1e-9), ends, marks, halves]
 
 
-def layout(text: bytes, n_chars) -> list[float]:
-    lines = text.split(b"\n")
-    sizes = [len(x) for x in lines]
-    return [float(np.log1p(len(text) if n_chars is None else max(0, n_chars))), float(np.log1p(len(lines))), float(np.log1p(sum(sizes) / len(sizes))), float(np.log1p(max(sizes))), len({*lines}) / len(lines)]
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % WORDS
 
 
-def hashed(*names) -> list[int]:
+def buckets(text: bytes) -> list[int]:
+    """The distinct words of a text, hashed; A-Z in lower case, marks around them left out."""
+    return sorted({bucket(w.strip(b".,;:!?()'\"")) for w in set(text.lower().split())})
+
+
+def word_weights(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Per bucket the log of how much likelier good documents hold it than bad ones."""
+    held = [np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c == k]).astype(np.int64), minlength=WORDS) for k in (0, 1)]
+    share = [(h + 0.5) / ((y == k).sum() + 1.0) for k, h in enumerate(held)]
+    return np.log(share[1] / share[0])
+
+
+def by_words(found: np.ndarray, weights: np.ndarray) -> list[float]:
+    """The mean weight of a text's words, and how low the lowest tenth of them goes."""
+    if not len(found):
+        return [0.0, 0.0]
+    w = weights[found]
+    return [float(w.mean()), float(np.partition(w, len(w) // 10)[len(w) // 10])]
+
+
+def stated_length(n_chars) -> list[float]:
+    return [-1.0 if n_chars is None else float(np.log1p(max(0, n_chars)))]
+
+
+def hashed(source, lang) -> list[int]:
+    names = (source, lang, f"{source}/{lang}")
     return [zlib.crc32(f"{i}:{x}".encode()) % HASHED for i, x in enumerate(names)]
 
 
@@ -119,6 +153,7 @@ class Model:
     meta: View
     mix: np.ndarray  # weights of the two calibrated logits, and a constant
     cut: float
+    weights: np.ndarray  # of words
     report: dict = field(default_factory=dict)
 
     def scores(self, xa, xb, names):
@@ -126,13 +161,16 @@ class Model:
         return sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2]), sigmoid(a), sigmoid(b)
 
 
-def co_train(xa, xb, names, y, held, rounds: int = ROUNDS, keep: float = KEEP) -> Model:
-    """y: 0 or 1, -1 for the unlabelled pool; held: the labelled rows for calibration."""
+def co_train(found, xa, xb, names, y, part, rounds: int = ROUNDS, keep: float = KEEP) -> Model:
+    """y: 0 or 1, -1 for the unlabelled pool; part: which of PARTS a labelled row belongs to; found: its words."""
+    of = lambda p: np.flatnonzero((y >= 0) & (part == p))
+    weights = word_weights([found[i] for i in of(COUNTED)], y[of(COUNTED)])
+    xa = np.concatenate([xa, np.array([by_words(f, weights) for f in found])], axis=1)
+    train, pool = (y >= 0) & (part == TRAINED), y < 0
     views = View(), View()
-    views[0].fit_edges(xa)
-    views[1].fit_edges(xb)
+    views[0].fit_edges(xa[train | pool])
+    views[1].fit_edges(xb[train | pool])
     designs = views[0].design(xa, None), views[1].design(xb, names)
-    train, pool = (y >= 0) & ~held, y < 0
     given = [y.copy(), y.copy()]  # the labels that each view trains on
     exchanged = []
     for r in range(rounds + 1):
@@ -141,7 +179,7 @@ def co_train(xa, xb, names, y, held, rounds: int = ROUNDS, keep: float = KEEP) -
             v.w = fit_logistic(d[rows], g[rows])
         if r == rounds:
             break
-        told = 0
+        told = [0, 0]
         for i in (0, 1):
             p = sigmoid(designs[i] @ views[i].w)
             other = given[1 - i]
@@ -149,37 +187,41 @@ def co_train(xa, xb, names, y, held, rounds: int = ROUNDS, keep: float = KEEP) -
                 new = np.flatnonzero(pool & (other < 0) & (sure >= CONFIDENT))
                 new = new[np.argsort(-sure[new], kind="stable")[:PER_ROUND]]
                 other[new] = label
-                told += len(new)
-        exchanged.append(told)
-        if not told:
+                told[i] += len(new)
+        exchanged.append(tuple(told))
+        if not sum(told):
             break
-    h, yh = np.flatnonzero(held), y[held]
+    h = of(CALIBRATED)
     for v, d in zip(views, designs, strict=True):
         z = d[h] @ v.w
-        a, b = fit_logistic(np.stack([z, np.ones(len(z))], 1), yh, 1e-3)
+        a, b = fit_logistic(np.stack([z, np.ones(len(z))], 1), y[h], 1e-3)
         v.scale = (float(a), float(b))
-    z = np.stack([views[0].logit(designs[0][h]), views[1].logit(designs[1][h]), np.ones(len(h))], 1)
-    mix = fit_logistic(z, yh, 1.0)
-    p = sigmoid(z @ mix)
-    good = np.sort(p[yh == 1])
+    logits = lambda i: np.stack([views[0].logit(designs[0][i]), views[1].logit(designs[1][i]), np.ones(len(i))], 1)
+    mix = fit_logistic(logits(h), y[h], 1.0)
+    i = of(CUT)
+    good = np.sort(sigmoid(logits(i) @ mix)[y[i] == 1])
     cut = min(float(good[int((1 - keep) * len(good))]), 0.5)
-    report = {"exchanged": exchanged, "held_out": len(h), "accuracy": float(((p >= cut) == (yh == 1)).mean()), "kept_good": float((p[yh == 1] >= cut).mean()), "rejected_bad": float((p[yh == 0] < cut).mean()), "cut": cut}
-    return Model(*views, mix, cut, report)
+    last = of(REPORTED)
+    p, yl = sigmoid(logits(last) @ mix), y[last]
+    share = lambda hit: float(hit.mean()) if len(hit) else None
+    report = {"exchanged": exchanged, "held_out": len(last), "accuracy": share((p >= cut) == (yl == 1)), "kept_good": share(p[yl == 1] >= cut), "rejected_bad": share(p[yl == 0] < cut), "cut": cut}
+    return Model(*views, mix, cut, weights, report)
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _views(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     texts = [t or b"" for t in batch.column("text").to_pylist()]
     meta = [batch.column(c).to_pylist() for c in ("n_chars", "source", "lang")]
     xa = np.array([content(t) for t in texts], np.float64).reshape(-1, N_CONTENT)
-    xb = np.array([layout(t, n) for t, n in zip(texts, meta[0], strict=True)], np.float64).reshape(-1, N_LAYOUT)
-    return xa, xb, np.array([hashed(s, g) for s, g in zip(*meta[1:], strict=True)], np.int64).reshape(-1, 2)
+    xb = np.array([stated_length(n) for n in meta[0]], np.float64).reshape(-1, 1)
+    return texts, xa, xb, np.array([hashed(s, g) for s, g in zip(*meta[1:], strict=True)], np.int64).reshape(-1, 3)
 
 
 def _sample(batches):
     for batch in batches:
-        xa, xb, names = _views(batch)
-        arrays = [batch.column("y"), batch.column("held"), *(pa.array(list(x.astype(t)), pa.list_(k)) for x, t, k in ((xa, np.float32, pa.float32()), (xb, np.float32, pa.float32()), (names, np.int32, pa.int32())))]
-        yield pa.RecordBatch.from_arrays(arrays, ["y", "held", "xa", "xb", "names"])
+        texts, xa, xb, names = _views(batch)
+        found = pa.array([buckets(t) for t in texts], pa.list_(pa.int16()))
+        arrays = [batch.column("y"), batch.column("part"), *(pa.array(list(x.astype(t)), pa.list_(k)) for x, t, k in ((xa, np.float32, pa.float32()), (xb, np.float32, pa.float32()), (names, np.int32, pa.int32()))), found]
+        yield pa.RecordBatch.from_arrays(arrays, ["y", "part", "xa", "xb", "names", "found"])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -199,16 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     rows = _inputs(docs).where((_unit(1) < labelled / max(1, n_known)) | (_unit(2) < pool / max(1, n_docs)))
     rows = rows.join(F.broadcast(some), "doc_id", "left")  # about `labelled` rows of two numbers
     rows = rows.where(F.col("y").isNotNull() | (_unit(2) < pool / max(1, n_docs)))
-    rows = rows.select("doc_id", "text", "source", "lang", "n_chars", F.coalesce("y", F.lit(-1)).alias("y"), (F.col("y").isNotNull() & (_unit(3) < HELD_OUT)).alias("held"))
-    got = rows.mapInArrow(_sample, "y int, held boolean, xa array<float>, xb array<float>, names array<int>").toArrow()
+    u, part, edge = _unit(3), F.lit(len(PARTS) - 1), 1.0
+    for p in range(len(PARTS) - 1, 0, -1):
+        edge -= PARTS[p]
+        part = F.when(u < edge, F.lit(p - 1)).otherwise(part)
+    rows = rows.select("doc_id", "text", "source", "lang", "n_chars", F.coalesce("y", F.lit(-1)).alias("y"), part.alias("part"))
+    got = rows.mapInArrow(_sample, "y int, part int, xa array<float>, xb array<float>, names array<int>, found array<smallint>").toArrow()
     got = got.combine_chunks()
-    y, held = got.column("y").to_numpy(), got.column("held").to_numpy()
-    both = lambda v: {0, 1} <= set(v.tolist())
-    if not (both(y[held]) and both(y[~held & (y >= 0)])):
+    if not got.num_rows:
+        return None
+    y, part = got.column("y").to_numpy(), got.column("part").to_numpy()
+    if not all({0, 1} <= set(y[part == p].tolist()) for p in range(REPORTED)):
         return None
     xa, xb, names = (got.column(c).combine_chunks().flatten().to_numpy().reshape(len(y), -1) for c in ("xa", "xb", "names"))
-    order = np.lexsort((*xa.T[:4], *xb.T[:2], y))  # the same model whatever order the rows came in
-    return co_train(*(v[order] for v in (xa.astype(np.float64), xb.astype(np.float64), names, y, held)))
+    lists = got.column("found").combine_chunks()
+    found = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets.to_numpy()[0])
+    order = np.lexsort((*xa.T[:4], *xb.T, y, part))  # the same model whatever order the rows came in
+    return co_train([found[i] for i in order], *(v[order] for v in (xa.astype(np.float64), xb.astype(np.float64), names, y, part)))
 
 
 def _score(model: Model | None, extra: list[str], batches):
@@ -218,8 +267,10 @@ def _score(model: Model | None, extra: list[str], batches):
             p = a = b = np.ones(n)
             keep = np.ones(n, bool)
         else:
-            xa, xb, names = _views(batch)
-            p, a, b = model.scores(xa.astype(np.float32).astype(np.float64), xb.astype(np.float32).astype(np.float64), names)
+            texts, xa, xb, names = _views(batch)
+            told = np.array([by_words(np.array(buckets(t), np.int64), model.weights) for t in texts]).reshape(-1, 2)
+            xa = np.concatenate([xa.astype(np.float32).astype(np.float64), told], axis=1)
+            p, a, b = model.scores(xa, xb.astype(np.float32).astype(np.float64), names)
             keep = p >= model.cut
         cols = [batch.column(c) for c in extra]
         yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.float64()) for x in (p, a, b)), pa.array(keep)], [*extra, "score", "text_score", "meta_score", "kept"])

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -509,24 +510,60 @@ def test_classifier_on_labels_that_do_not_help(spark, documents, nothing):
     assert quality.score(nothing, labels).count() == 0
 
 
-def test_classifier_held_out(spark):
+def junk(k: int, text: str) -> str:
+    """Repetition, marks, or words of another kind in sound sentences."""
+    if k % 3 == 0:
+        return " ".join(w for w in text.split()[:12] for _ in range(8))
+    if k % 3 == 1:
+        return " ".join(f"{w.upper()}!!" for w in text.split())
+    r = random.Random(k)
+    return " ".join(f"{w} {r.choice(('casino', 'jackpot', 'bonus', 'spins'))}" if i % 3 == 0 else w for i, w in enumerate(text.split()))
+
+
+def test_classifier_on_documents_without_labels(spark):
+    """Half of the documents have labels, good and bad alike. The other half is unseen: its junk goes, its good documents stay."""
     rows, labels = [], []
-    for k in range(1500):
-        text = prose(k, 60 + k % 50)
-        junk = k % 4 == 0
-        if junk:
-            words = text.split()[:12]
-            text = " ".join(w for w in words for _ in range(8)) if k % 8 else " ".join(f"{w.upper()}!!" for w in text.split())
+    for k in range(3000):
+        bad, text = k % 4 == 0, prose(k, 60 + k % 50)
+        text = junk(k // 4, text) if bad else text
         rows.append((k, text, "en", f"s{k % 5}", len(text)))
-        if k % 2 == 0 or k % 3 == 0:
-            labels.append((k, int(not junk), 0))
-    docs = spark.createDataFrame([*rows, (5000, None, None, None, None), (5001, "", "en", "s", 0)], SCHEMA)
-    got = {r["doc_id"]: r for r in quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    assert len(got) == len(rows) + 2
-    unseen = [k for k in range(1500) if k % 2 and k % 3]
-    assert sum(got[k]["kept"] == (k % 4 != 0) for k in range(1500)) >= 0.99 * 1500
-    assert all(got[k]["kept"] for k in unseen)
-    assert all(0 <= r["score"] <= 1 for r in got.values())
+        if k // 4 % 2:
+            labels.append((k, int(not bad), 0))
+    docs = spark.createDataFrame([*rows, (5000, None, None, None, None), (5001, "", "en", "s", 0), (5002, prose(1, 30_000), "en", "s1", None), (3, rows[3][1], "en", "s3", 9)], SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = defaultdict(list)
+    for r in quality.score(docs, known).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows) + 4 and len(got[3]) == 2
+    unseen = [k for k in range(3000) if not k // 4 % 2]
+    assert np.mean([got[k][0]["kept"] for k in unseen if k % 4]) >= 0.99
+    assert np.mean([not got[k][0]["kept"] for k in unseen if k % 4 == 0]) >= 0.95
+    assert all(0 <= r["score"] <= 1 for rs in got.values() for r in rs)
+    report = quality.fit(docs, known).report
+    assert report["held_out"] > 50 and report["accuracy"] >= 0.97 and sum(a for a, _ in report["exchanged"]) > 0
+
+
+def test_views_share_nothing():
+    """The text view sees no metadata, the metadata view no text; both against counts made plainly."""
+    batch = lambda t, n, s: pa.RecordBatch.from_pylist([{"text": t, "n_chars": n, "source": s, "lang": "en"}])
+    a, b, c = (quality._views(batch(*x)) for x in ((b"one two", 7, "s"), (b"one two", 99, "t"), (b"other words here", 7, "s")))
+    assert (a[1] == b[1]).all() and (a[2] == c[2]).all() and (a[3] == c[3]).all() and (a[1] != c[1]).any() and a[2] != b[2]
+    y = np.array([1, 1, 0, 0])
+    rows = [np.array(quality.buckets(t)) for t in (b"good text", b"Good day.", b"bad text", b"bad")]
+    w = quality.word_weights(rows, y)
+    for word, good, bad in ((b"good", 2, 0), (b"text", 1, 1), (b"bad", 0, 2), (b"day", 1, 0)):
+        assert w[quality.bucket(word)] == pytest.approx(np.log(((good + 0.5) / 3) / ((bad + 0.5) / 3)))
+
+
+def test_regression_against_plain_descent():
+    """The Newton steps of a view end where slow gradient descent ends."""
+    rng = np.random.default_rng(2)
+    x = np.append(rng.normal(size=(80, 3)), np.ones((80, 1)), axis=1)
+    y = (x @ [1.0, -2.0, 0.5, 0.3] + rng.normal(size=80) > 0).astype(int)
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.02 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + w)
+    assert np.allclose(quality.fit_logistic(x, y), w, atol=1e-5)
 
 
 # 10
