@@ -185,7 +185,7 @@ def _arc_files(batches):
 
 
 def member(record: bytes) -> bytes:
-    return gzip.compress(record, 5, mtime=0)
+    return gzip.compress(record, 3, mtime=0)
 
 
 def _warc_files(batches):
