@@ -305,40 +305,75 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+_SHORT = "w1 long, w2 long, n long, before long, after long, edge boolean, stop boolean, k1 long, k2 long, first int, last int"
+
+
 def _short_strings(span: int, words: int, batches):
-    """The strings of so many words that have fewer than span bytes."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    """The strings of so many words that have fewer than span bytes, with a digest of the one a word before and after.
+
+    Strings that stand more than once in a slice of a text are one row with their number n; as they are repeated whatever the
+    other texts hold, the runs they cover are rows without digests. Next to such strings, and to those of another slice or
+    STRIDE, is an edge, and a stop where it is the one after.
+    """
+    kinds = (*[pa.int64()] * 5, *[pa.bool_()] * 2, *[pa.int64()] * 2, *[pa.int32()] * 2)
+    names = [c.split()[0] for c in _SHORT.split(", ")]
     for batch in batches:
         for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True):
             starts, ends = word_bounds(text)
             first, last = starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
             short = np.flatnonzero(last - first < span)
             for at in range(0, len(short), 20_000):
-                a, b = (x[short[at : at + 20_000]].tolist() for x in (first, last))
-                w1, w2 = zip(*(_digest_words(text[i:j]) for i, j in zip(a, b, strict=True)), strict=True)
-                cols = (w1, w2, [k1] * len(a), [k2] * len(a), a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["w1", "w2", "k1", "k2", "first", "last"])
+                ahead, n = int(at > 0), min(20_000, len(short) - at)
+                near = short[at - ahead : at + n + 1]
+                digests = [_digest_words(text[i:j]) for i, j in zip(first[near].tolist(), last[near].tolist(), strict=True)]
+                _, lead, kind, times = np.unique(np.array(digests[ahead : ahead + n], np.int64), axis=0, return_index=True, return_inverse=True, return_counts=True)
+                often = times[kind.ravel()] > 1
+                follows = [False, *(np.diff(near) == 1).tolist(), False]  # whether near[i - 1] is a word before near[i]
+                parts = (first[near] // STRIDE).tolist()
+                apart = [*[True] * ahead, *often.tolist(), *[True] * (len(near) - ahead - n)]
+                rows = []
+                for i in range(ahead, ahead + n):
+                    if not apart[i]:
+                        back, on = follows[i], follows[i + 1]
+                        stop = on and (apart[i + 1] or parts[i + 1] != parts[i])
+                        edge = stop or (back and (apart[i - 1] or parts[i - 1] != parts[i]))
+                        rows.append((*digests[i], 1, digests[i - 1][0] if back else None, digests[i + 1][0] if on else None, edge, stop, k1, k2, int(first[near[i]]), int(last[near[i]])))
+                rows += [(*digests[ahead + i], int(m), None, None, False, False, k1, k2, 0, 0) for i, m in zip(lead.tolist(), times.tolist(), strict=True) if m > 1]
+                here = short[at : at + n][often]
+                rows += [(None, None, 0, None, None, False, False, k1, k2, int(x), int(y)) for x, y in zip(*merged(first[here], last[here]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def _merge_part(batches):
     for batch in batches:
         rows = []
         for k1, k2, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "runs")), strict=True):
-            a, b = merged(np.array([r["first"] for r in runs], np.int64), np.array([r["last"] for r in runs], np.int64))
-            rows += [(k1, k2, int(x), int(y)) for x, y in zip(a, b, strict=True)]
+            runs = sorted((r["first"], r["last"], r["onward"]) for r in runs)
+            first, last, onward = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+            # All strings from one that goes onward to the next row are repeated.
+            last[:-1] = np.where(onward[:-1] == 1, np.maximum(last[:-1], last[1:]), last[:-1])
+            rows += [(k1, k2, int(x), int(y)) for x, y in zip(*merged(first, last), strict=True)]
         yield _runs(rows)
 
 
 def _short_runs(source: DataFrame, span: int, words: int, paths: list[str]) -> DataFrame:
-    """Runs of repeated strings of so many words below span bytes. They are counted, never gathered; their join can be split."""
-    rows = source.mapInArrow(lambda b: _short_strings(span, words, b), "w1 long, w2 long, k1 long, k2 long, first int, last int")
-    rows, path = written_at(rows, "short-strings")
+    """Runs of repeated strings of so many words below span bytes. They are counted, never gathered; their join can be split.
+
+    A repeated string that always follows the same string goes on from it, as that one is repeated too. One that
+    has such a string on both sides never ends a run, so only the others leave the join: two rows for a passage that stands in
+    many documents, and one more for each place where its copies part. Strings repeated within a text are summed there.
+    """
+    rows, path = written_at(source.mapInArrow(lambda b: _short_strings(span, words, b), _SHORT), "short-strings")
     paths.append(path)
-    twice, path = written_at(rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "short-strings-twice")
+    runs, rows = rows.where("w1 IS NULL").select("k1", "k2", "first", "last"), rows.where("w1 IS NOT NULL")
+    same = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    counts = rows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), same("before").alias("backward"), same("after").alias("onward")).where("n > 1")
+    counts = counts.select("w1", "w2", F.coalesce("backward", F.lit(False)).alias("backward"), F.coalesce("onward", F.lit(False)).alias("onward"))
+    twice, path = written_at(counts, "short-strings-twice")
     paths.append(path)
-    hits = rows.join(twice, ["w1", "w2"], "left_semi")
-    parts = hits.groupBy("k1", "k2", F.floor(F.col("first") / STRIDE).alias("part")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return parts.mapInArrow(_merge_part, "k1 long, k2 long, first int, last int")
+    hits = rows.where("n = 1").join(twice, ["w1", "w2"]).where("edge OR NOT (backward AND onward)").withColumn("onward", F.expr("onward AND NOT stop"))
+    parts = hits.groupBy("k1", "k2", F.floor(F.col("first") / STRIDE).alias("part")).agg(F.collect_list(F.struct("first", "last", "onward")).alias("runs"))
+    return parts.mapInArrow(_merge_part, "k1 long, k2 long, first int, last int").unionByName(runs)
 
 
 def _merge_runs(batches):
