@@ -1,6 +1,8 @@
 """The stages on a small corpus with junk, copies and shared passages, and the queries' columns."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -116,3 +118,28 @@ def test_stages_on_empty_tables(spark, tmp_path):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_runs_of_short_words_against_brute_force(spark):
+    """Shared passages, periods, copies that part, long texts over several merged parts, repeated rows."""
+    r = random.Random(11)
+    word = lambda letters: r.choice(letters) + str(r.randrange(9))
+    passage = [word("xyz") for _ in range(90)]
+    texts = [None, ""]
+    for k in range(60):
+        own = [word("abc") for _ in range(r.randrange(70))]
+        middle = (passage, passage[:70] + own[:9] + passage[70:], ["p", "q"] * r.randrange(20, 60), [])[k % 4]
+        texts.append(" ".join([*own, *middle, *(word("def") for _ in range(r.randrange(60)))]))
+    long = [word("gh") for _ in range(7000)]
+    texts += [" ".join(long), " ".join([*long[:6000], *passage]), texts[5]]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    got = {d["doc_id"]: d["text"] or "" for d in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    # Words of two bytes at most, so 51 of them are below PASSAGE; strings of PASSAGE bytes count as well.
+    places = [[(m.start(), m.end()) for m in re.finditer(r"\S+", t or "")] for t in texts]
+    windows = [[(p[i][0], p[i + 50][1]) for i in range(len(p) - 50)] for p in places]
+    size = corpus_pipeline.PASSAGE
+    windows = [w + [(i, i + size) for i in range(len(t or "") - size + 1)] for w, t in zip(windows, texts, strict=True)]
+    seen = Counter(texts[k][a:b] for k, w in enumerate(windows) for a, b in w)
+    for k, w in enumerate(windows):
+        gone = {c for a, b in w if seen[texts[k][a:b]] > 1 for c in range(a, b)}
+        assert got[k] == "".join(c for i, c in enumerate(texts[k] or "") if i not in gone)
