@@ -62,7 +62,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch brings to a Python worker; the session keeps the setting."""
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Bound what one Arrow batch brings to a Python worker; the session keeps the setting.
+
+    The JVM keeps direct buffers of the size of the largest batches beside its heap, and a worker what it took for them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
