@@ -7,9 +7,11 @@ than `limit` rows that pass, the query is answered exactly.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +60,39 @@ def search(index: Lists, queries: DataFrame, metric: str = "dot", limit: int = 1
         rows = rows.where(F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False)))
     centroids = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)], "offset long, vector array<double>")
     near = topk.knn(centroids, queries, metric, min(probes, len(index.centroids)))
-    probed = near.select("qid", F.col("offset").cast("int").alias("list")).join(queries.select("qid", "q"), "qid")
-    found = quantize.metrics.similarity(metric, F.col("vector"), F.col("q"))
-    pairs = rows.select("offset", "vector", "list").join(F.broadcast(probed) if queries.limit(10_001).count() <= 10_000 else probed, "list")
-    page = topk.rank_within(pairs.select("qid", "offset", found.alias("sim")), "qid", [F.col("sim").desc(), F.col("offset").asc()], limit)
-    page = page.select("qid", "rank", "offset", quantize.metrics.reported(metric, F.col("sim")).alias("score"))
-    counts = page.groupBy("qid").count()
-    short = queries.join(counts.where(F.col("count") >= limit), "qid", "left_anti")
-    full = page.join(counts.where(F.col("count") >= limit).select("qid"), "qid", "left_semi")
-    return full.unionByName(topk.knn(rows, short, metric, limit))
+    probed = near.select("qid", F.col("offset").cast("int").alias("list"))
+    # How many rows a query will find follows from the sizes of its lists.
+    sizes = rows.groupBy("list").agg(F.count("*").alias("n"))
+    asked = probed.join(sizes, "list", "left").groupBy("qid").agg(F.collect_set("list").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    asked = queries.select("qid", "q").join(asked, "qid", "left")
+    full, short = asked.where(F.col("n") >= limit), asked.where(F.coalesce(F.col("n") < limit, F.lit(True))).select("qid", "q")
+    pairs = topk.best_pairs(rows.select("offset", "vector", "list"), full.select("qid", "q", "lists"), partial(Probed, metric, len(index.centroids)), limit)
+    page = topk.rank_within(pairs, "qid", [F.col("sim").desc(), F.col("offset").asc()], limit)
+    page = quantize.rescored(page, rows, queries, metric, limit)
+    return page.unionByName(topk.knn(rows.select("offset", "vector"), short, metric, limit))
+
+
+class Probed(topk.Exact):
+    """Exact scores of the rows in the lists that a query probes."""
+
+    def __init__(self, metric: str, count: int, queries: pa.Table):
+        super().__init__(metric, queries)
+        lists = queries.column("lists").to_pylist()
+        self.probes = np.zeros((len(lists), count), bool)
+        for i, probed in enumerate(lists):
+            self.probes[i, probed] = True
+
+    def rows(self, batch: pa.RecordBatch):
+        return super().rows(batch), batch.column("list").to_numpy()
+
+    def rough(self, a: int, b: int, x) -> tuple[np.ndarray, np.ndarray]:
+        return super().rough(a, b, x[0])
+
+    def exact(self, qi: np.ndarray, xi: np.ndarray, x) -> np.ndarray:
+        return super().exact(qi, xi, x[0])
+
+    def allowed(self, a: int, b: int, x) -> np.ndarray:
+        return self.probes[a:b][:, x[1]]
 
 
 def plan(points: DataFrame, dim: int, quantized: bool = False, exact: bool = False, threshold_kb: int = FULL_SCAN_KB, element_bytes: int = 4) -> str:

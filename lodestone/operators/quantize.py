@@ -8,23 +8,23 @@ Arrow batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidArgument, Unsupported
 from lodestone.operators import metrics
-from lodestone.operators.topk import rank_within
+from lodestone.operators.topk import BROADCAST_QUERIES, Exact, _dense, best_pairs, rank_within
 
 SAMPLE = 65_536
 MAX_OVERSAMPLING = 65_536
-BATCH_QUERIES = 10_000  # queries that travel with the tasks of one scan
-SCORED = 500  # queries that are scored against an Arrow batch at once
+BATCH_QUERIES = BROADCAST_QUERIES  # queries that travel with the tasks of one scan
 
 
 def oversampled(limit: int, factor: float | None) -> int:
@@ -59,6 +59,9 @@ class Scalar:
         """Codes 0..255, halves away from zero."""
         return F.transform(v, lambda x: F.least(F.greatest(F.round((x.cast("double") - self.low) / self.step), F.lit(0.0)), F.lit(255.0)).cast("smallint"))
 
+    def scorer(self, metric: str, dim: int) -> Callable:
+        return partial(ScalarCodes, self, metric, dim)
+
     def similarity(self, metric: str, a: Column, b: Column, dim: int) -> Column:
         """Of two codes, in integer sums."""
         term = {"dot": lambda x, y: x * y, "cosine": lambda x, y: x * y, "euclid": lambda x, y: (x - y) * (x - y), "manhattan": lambda x, y: F.abs(x - y)}[metric]
@@ -139,6 +142,10 @@ class Product:
         x = x.reshape(len(x), parts, width)
         return np.stack([nearest(x[:, p], self.books[p]) for p in range(parts)], axis=1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The rows that codes stand for."""
+        return np.concatenate([self.books[p][codes[:, p]] for p in range(len(self.books))], axis=1)
+
     def tables(self, q: np.ndarray, metric: str) -> np.ndarray:
         """The similarity of a query's part and each centroid: queries x parts x centroids."""
         q = q.reshape(len(q), self.books.shape[0], 1, -1)
@@ -149,11 +156,23 @@ class Product:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Index of the closest centroid by squared distance; the lowest of equals."""
-    d = ((x[:, None] - centroids[None]) ** 2).sum(axis=-1) if len(x) * centroids.size < 5e7 else None
-    if d is None:
-        return np.concatenate([nearest(part, centroids) for part in np.array_split(x, max(2, int(len(x) * centroids.size // 4e7)))])
-    return d.argmin(axis=1)
+    """Index of the closest centroid by squared distance; the lowest of equals.
+
+    Products find it; where they leave more than one within rounding, the differences decide.
+    """
+    out = np.empty(len(x), np.int64)
+    squares = (centroids * centroids).sum(axis=1)
+    longest = math.sqrt(squares.max(initial=0))
+    for at in range(0, len(x), 4096):
+        part = x[at : at + 4096]
+        d = squares - 2 * (part @ centroids.T)
+        error = (x.shape[1] + 4) * 2.0**-49 * (np.sqrt((part * part).sum(axis=1)) + longest) ** 2
+        best = d.argmin(axis=1)
+        close = np.flatnonzero(np.count_nonzero(~(d > (d[np.arange(len(d)), best] + error)[:, None]), axis=1) > 1)
+        for c in np.array_split(close, max(1, len(close) * centroids.size // 4_000_000)):
+            best[c] = ((part[c][:, None] - centroids[None]) ** 2).sum(axis=-1).argmin(axis=1)
+        out[at : at + 4096] = best
+    return out
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
@@ -275,19 +294,122 @@ def rescored(candidates: DataFrame, points: DataFrame, queries: DataFrame, metri
     return page.select("qid", "rank", "offset", metrics.reported(metric, F.col("sim")).alias("score"))
 
 
-def two_stage(coded: DataFrame, points: DataFrame, queries: DataFrame, similarity: Column, metric: str = "dot", limit: int = 10, oversampling: float | None = None, ef: int = 0, rescore: bool = True) -> DataFrame:
-    """coded is (offset, code), queries (qid, q, qcode); similarity is over code and qcode. The pool is max(limit * oversampling, ef)."""
-    pool = max(oversampled(limit, oversampling), ef, limit)
-    pairs = coded.crossJoin(F.broadcast(queries.select("qid", "qcode"))) if queries.limit(10_001).count() <= 10_000 else coded.crossJoin(queries.select("qid", "qcode"))
-    first = rank_within(pairs.select("qid", "offset", similarity.alias("sim")), "qid", [F.col("sim").desc(), F.col("offset").asc()], pool if rescore else limit)
+def two_stage(coded: DataFrame, points: DataFrame, queries: DataFrame, scorer: Callable, metric: str = "dot", limit: int = 10, oversampling: float | None = None, ef: int = 0, rescore: bool = True) -> DataFrame:
+    """coded is (offset, code), queries (qid, q, qcode); scorer is of code and qcode. The pool is max(limit * oversampling, ef)."""
+    pool = max(oversampled(limit, oversampling), ef, limit) if rescore else limit
+    found = best_pairs(coded.select("offset", "code"), queries.select("qid", "qcode"), scorer, pool)
+    first = rank_within(found, "qid", [F.col("sim").desc(), F.col("offset").asc()], pool)
     if not rescore:
         return first.select("qid", "rank", "offset", F.col("sim").alias("score"))
     return rescored(first, points, queries, metric, limit)
 
 
+class _Codes:
+    """Scores of integer codes, which have no error; a pair with a code that is null or of another length has none."""
+
+    def __init__(self, queries: pa.Table):
+        column = queries.column("qcode")
+        self.width = max((len(c) for c in column if c.is_valid), default=0)
+        self.q, self.known = _code_matrix(column, self.width)
+
+    def rows(self, batch: pa.RecordBatch):
+        return _code_matrix(batch.column("code"), self.width)
+
+    def rough(self, a: int, b: int, x) -> tuple[np.ndarray, float]:
+        sim = self.pairs(self.q[a:b], x[0])
+        sim[~self.known[a:b]] = -np.inf
+        sim[:, ~x[1]] = -np.inf
+        self.at, self.sim = a, sim
+        return sim, 0.0
+
+    def exact(self, qi: np.ndarray, xi: np.ndarray, x) -> np.ndarray:
+        return self.sim[qi - self.at, xi].astype(np.float64)
+
+    def allowed(self, a: int, b: int, x) -> None:
+        return None
+
+
+def _code_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    known = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    flat = column.filter(known).flatten()
+    known, out = known.to_numpy(zero_copy_only=False), np.zeros((len(column), width), np.int64)
+    out[known] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).reshape(-1, width)
+    if flat.null_count:
+        known[np.flatnonzero(known)[~flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(axis=1)]] = False
+    return out, known
+
+
+class ScalarCodes(_Codes):
+    """The same sums in the same order as Scalar.similarity."""
+
+    def __init__(self, codec: Scalar, metric: str, dim: int, queries: pa.Table):
+        super().__init__(queries)
+        self.codec, self.metric, self.dim = codec, metric, dim
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        step, low = self.codec.step, self.codec.low
+        if self.metric == "manhattan":
+            return np.stack([-np.abs(b - row).sum(axis=1) for row in a]).astype(np.float64) * step
+        kind = np.float32 if a.shape[1] * 255 * 255 < 2**24 else np.float64  # whole numbers without rounding
+        both = (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
+        if self.metric == "euclid":
+            squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None]
+            return (2 * both - squares) * (step * step)
+        both *= step * step
+        both += self.dim * low * low + (a.sum(axis=1)[:, None] + b.sum(axis=1)[None]) * (low * step)
+        return both
+
+
+class BinaryCodes(_Codes):
+    """dim - 2 * differing bits, as binary_similarity."""
+
+    def __init__(self, dim: int, queries: pa.Table):
+        super().__init__(queries)
+        self.dim = dim
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = np.zeros((len(a), len(b)), np.uint8 if a.shape[1] < 5 else np.int32)
+        for w in range(a.shape[1]):
+            differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+        return self.dim - 2 * differ.astype(np.float32)
+
+
+class ProductCodes(Exact):
+    """Sums over a query's tables, as _look_up; rough scores of an inner product come from the rows that the codes stand for."""
+
+    def __init__(self, model: Product, metric: str, queries: pa.Table):
+        super().__init__(metric, queries)
+        self.model = model
+
+    def rows(self, batch: pa.RecordBatch):
+        codes = self.model.encode(_dense(batch.column("vector"), self.dim))
+        return codes, self.block(self.model.decode(codes))
+
+    def rough(self, a: int, b: int, x) -> tuple[np.ndarray, np.ndarray]:
+        self.at, self.tables = a, self.model.tables(self.q[a:b], self.metric)
+        if self.metric in ("dot", "cosine"):
+            return super().rough(a, b, x[1])
+        return _look_up(x[0], self.tables), 0.0
+
+    def exact(self, qi: np.ndarray, xi: np.ndarray, x) -> np.ndarray:
+        return sum(self.tables[qi - self.at, p, x[0][xi, p]] for p in range(x[0].shape[1]))
+
+
+class RotationCodes(Exact):
+    """Queries stay exact, rows are decoded from their levels."""
+
+    def __init__(self, model: Rotation, metric: str, queries: pa.Table):
+        super().__init__(metric, queries, model.rotate)
+        self.model = model
+
+    def rows(self, batch: pa.RecordBatch):
+        return self.block(self.model.decode(*self.model.encode(_dense(batch.column("vector"), self.dim))))
+
+
 def product_search(points: DataFrame, queries: DataFrame, model: Product, metric: str = "dot", limit: int = 10, oversampling: float = 4.0) -> DataFrame:
-    """Codes are scored by table look-ups, a batch of rows against a bounded batch of queries; the pool is rescored."""
-    return _batch_search(points, queries, lambda q: model.tables(q, metric), model.encode, _look_up, metric, limit, oversampling)
+    """Rows are coded by the batch and scored by table look-ups; the pool is rescored."""
+    return _batch_search(points, queries, partial(ProductCodes, model, metric), metric, limit, oversampling)
 
 
 def _look_up(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -295,49 +417,11 @@ def _look_up(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 def rotation_search(points: DataFrame, queries: DataFrame, model: Rotation, metric: str = "dot", limit: int = 10, oversampling: float = 4.0) -> DataFrame:
-    """Queries stay exact, rows are decoded from their levels."""
-
-    def score(y: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return q @ y.T if metric in ("dot", "cosine") else -((q[:, None] - y[None]) ** 2).sum(axis=-1)
+    """Rows are decoded from their levels by the batch; the pool is rescored."""
+    return _batch_search(points, queries, partial(RotationCodes, model, metric), metric, limit, oversampling)
 
-    return _batch_search(points, queries, model.rotate, lambda x: model.decode(*model.encode(x)), score, metric, limit, oversampling)
 
-
-def _batch_search(points, queries, prepare, code, score, metric, limit, oversampling):
-    """One coded scan per block of queries; queries travel as they are and are prepared SCORED at a time."""
+def _batch_search(points, queries, scorer, metric, limit, oversampling):
     pool = oversampled(limit, oversampling)
-
-    def scan(rows: pd.DataFrame) -> DataFrame:
-        qid, q = rows["qid"].to_numpy(), np.stack(rows["q"].to_numpy()).astype(np.float64)
-
-        def best(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                coded = code(np.stack(batch["vector"].to_numpy()).astype(np.float64))
-                offsets = batch["offset"].to_numpy()
-                n = min(pool, len(offsets))
-                for at in range(0, len(qid), SCORED):
-                    sim = score(coded, prepare(q[at : at + SCORED]))
-                    top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                    yield pd.DataFrame({"qid": np.repeat(qid[at : at + SCORED], n), "offset": offsets[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
-
-        return points.select("offset", "vector").mapInPandas(best, "qid long, offset long, sim double")
-
-    blocks = (rows for rows in _query_blocks(queries.select("qid", "q")) if len(rows))
-    found = [scan(rows) for rows in blocks]
-    if not found:
-        found = [points.select(F.lit(None).cast("long").alias("qid"), "offset", F.lit(0.0).alias("sim")).where(F.lit(False))]
-    pool_rows = rank_within(reduce(DataFrame.unionByName, found), "qid", [F.col("sim").desc(), F.col("offset").asc()], pool)
-    return rescored(pool_rows, points, queries, metric, limit)
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """All queries, at most BATCH_QUERIES at a time; more are dealt by a hash of qid, with room for uneven blocks."""
-    n = queries.count()
-    if n <= BATCH_QUERIES:
-        yield queries.toPandas()
-        return
-    blocks = -(-n * 5 // (BATCH_QUERIES * 4))
-    for b in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
+    found = best_pairs(points.select("offset", "vector"), queries.select("qid", "q"), scorer, pool)
+    return rescored(rank_within(found, "qid", [F.col("sim").desc(), F.col("offset").asc()], pool), points, queries, metric, limit)

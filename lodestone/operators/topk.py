@@ -73,15 +73,18 @@ def _pairwise(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Exact:
     """Scores of vectors by a metric: rough ones of all pairs of a block, in single precision where it bounds the error, and exact ones of chosen pairs."""
 
-    def __init__(self, metric: str, queries: pa.Table):
+    def __init__(self, metric: str, queries: pa.Table, prepare: Callable | None = None):
         self.metric = metric
         self.q = _dense(queries.column("q"), len(queries.column("q")[0]))
+        self.dim, self.q = self.q.shape[1], prepare(self.q) if prepare else self.q
         self.q32, self.lengths, self.largest = self.q.astype(np.float32), np.sqrt(np.einsum("ij,ij->i", self.q, self.q)), np.abs(self.q).max(initial=0)
         if not np.isfinite(self.lengths).all():
             self.lengths, self.largest = np.nan_to_num(self.lengths, posinf=0), np.inf
 
     def rows(self, batch: pa.RecordBatch):
-        x = _dense(batch.column("vector"), self.q.shape[1])
+        return self.block(_dense(batch.column("vector"), self.dim))
+
+    def block(self, x: np.ndarray):
         squares = np.einsum("ij,ij->i", x, x)
         finite = np.isfinite(squares)
         longest = math.sqrt(squares[finite].max(initial=0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import ann, quantize, topk
@@ -32,7 +34,7 @@ def _sq8(metric="dot", **options):
     def run(spark, sf_dir):
         coded = points(spark, sf_dir).select("offset", FIXED.encode(F.col("vector")).alias("code"))
         q = stated_queries(spark, sf_dir).withColumn("qcode", FIXED.encode(F.col("q")))
-        out = quantize.two_stage(coded, points(spark, sf_dir), q, FIXED.similarity(metric, F.col("code"), F.col("qcode"), DIM), metric, 10, **options)
+        out = quantize.two_stage(coded, points(spark, sf_dir), q, FIXED.scorer(metric, DIM), metric, 10, **options)
         return out.select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
     return run
@@ -48,7 +50,7 @@ def _binary(bits=1, **options):
         code = lambda c: quantize.packed(quantize.binary_bits(F.col(c), bits, mean, std))
         coded = p.select("offset", code("vector").alias("code"))
         q = stated_queries(spark, sf_dir).withColumn("qcode", code("q"))
-        out = quantize.two_stage(coded, p, q, quantize.binary_similarity(F.col("code"), F.col("qcode"), DIM), "dot", 10, **options)
+        out = quantize.two_stage(coded, p, q, partial(quantize.BinaryCodes, DIM), "dot", 10, **options)
         return out.select("qid", "rank", "offset", F.round("score", 6).alias("score"))
 
     return run

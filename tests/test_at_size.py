@@ -1,5 +1,7 @@
 """What a task may hold and what is scored where: searches whose queries and rows outgrow one scan."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,8 +42,6 @@ def test_places_among_all_rows(spark):
 @pytest.mark.parametrize("metric", ["dot", "euclid", "manhattan"])
 def test_a_task_keeps_no_more_than_the_answer(spark, monkeypatch, metric):
     """Before, every Arrow batch gave its own best rows, and a wide page was most of all pairs."""
-    from functools import partial
-
     monkeypatch.setattr(topk, "BLOCK", 32)
     x, points = table(spark, 600, parts=2)
     q = points.where("offset < 9").select(F.col("offset").alias("qid"), F.col("vector").alias("q"))
@@ -67,3 +67,55 @@ def test_not_a_number_counts_as_the_largest(spark):
     points = spark.createDataFrame([(0, [1.0, 0.0]), (1, [float("nan"), 0.0]), (2, [2.0, 0.0])], "offset long, vector array<double>").coalesce(1)
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, q array<double>")
     assert answers(topk.knn(points, q, "dot", 2)) == {0: [1, 2]}
+
+
+def test_codes_score_as_their_expressions(spark, monkeypatch):
+    """By the batch, in the same sums and order as the column expressions; before, all pairs went through those and a sort."""
+    from lodestone.operators import quantize
+
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    _, points = table(spark, 200)
+    codec = quantize.Scalar(-2.0, 2.0)
+    binary = lambda c: quantize.packed(quantize.binary_bits(F.concat(*[c] * 9)))  # noqa: E731  72 bits, two words
+    arms = [(codec.encode, codec.scorer(m, 8), partial(lambda m, a, b: codec.similarity(m, a, b, 8), m)) for m in ("dot", "euclid", "manhattan")]
+    arms.append((binary, partial(quantize.BinaryCodes, 72), lambda a, b: quantize.binary_similarity(a, b, 72)))
+    spoiled = points.unionByName(spark.createDataFrame([(900, None, 0), (901, [1.0], 0)], points.schema))
+    for encode, scorer, expression in arms:
+        coded = spoiled.select("offset", encode(F.col("vector")).alias("code"))
+        q = points.where("offset < 12").select(F.col("offset").alias("qid"), F.col("vector").alias("q"), encode(F.col("vector")).alias("qcode"))
+        pairs = coded.crossJoin(q).select("qid", "offset", expression(F.col("code"), F.col("qcode")).alias("sim"))
+        for keep in (7, 202):
+            want = topk.rank_within(pairs, "qid", [F.col("sim").desc(), F.col("offset").asc()], keep).select("qid", "rank", "offset", F.col("sim").alias("score"))
+            got = quantize.two_stage(coded, points, q, scorer, limit=keep, rescore=False)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+            assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_product_codes_score_by_their_tables(spark):
+    from lodestone.operators import quantize
+
+    x, points = table(spark, 300)
+    model = quantize.fit_product(points, 16, 8)
+    q = points.where("offset < 6").select(F.col("offset").alias("qid"), F.col("vector").alias("q"))
+    for metric in ("dot", "euclid"):
+        got = topk.best_pairs(points.coalesce(1).select("offset", "vector"), q, partial(quantize.ProductCodes, model, metric), 20)
+        sim = quantize._look_up(model.encode(x), model.tables(x[:6], metric))
+        want = {(i, int(o)): sim[i, o] for i in range(6) for o in np.lexsort((np.arange(300), -sim[i]))[:20]}
+        assert {(r["qid"], r["offset"]): r["sim"] for r in got.collect()} == want
+
+
+def test_lists_are_searched_without_all_pairs(spark):
+    """Only rows of probed lists answer; a query whose lists hold too few is answered from all rows."""
+    from lodestone.operators import ann
+    from lodestone.operators.quantize import nearest
+
+    x, points = table(spark, 240)
+    index = ann.build(points, 6)
+    q = points.where("offset < 8").select(F.col("offset").alias("qid"), F.col("vector").alias("q"))
+    at = nearest(x, index.centroids)
+    for probes, limit in ((2, 5), (1, 60)):
+        got = answers(ann.search(index, q, "dot", limit, probes))
+        for i in range(8):
+            lists = sorted(range(6), key=lambda c: (-float(index.centroids[c] @ x[i]), c))[:probes]
+            inside = [o for o in ordered(x, x[i]) if at[o] in lists]
+            assert got[i] == (inside if len(inside) >= limit else ordered(x, x[i]))[:limit]
