@@ -111,28 +111,29 @@ class Best:
     def __init__(self, n: int, keep: int):
         self.n, self.keep = n, keep
         self.floor, self.edge = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)  # the last place of each full list
-        self.rows = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.rows = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0)
         self.waiting: list = []
         self.count = 0
 
-    def add(self, qi: np.ndarray, key: np.ndarray, offset: np.ndarray) -> None:
+    def add(self, qi: np.ndarray, key: np.ndarray, offset: np.ndarray, value: np.ndarray | None = None) -> None:
+        """A value other than the key may go with it."""
         key = np.where(np.isnan(key), np.inf, key)
         better = (key > self.floor[qi]) | ((key == self.floor[qi]) & (offset < self.edge[qi]))
-        self.waiting.append((qi[better], key[better], offset[better]))
+        self.waiting.append((qi[better], key[better], offset[better], (key if value is None else value)[better]))
         self.count += len(self.waiting[-1][0])
         if self.count > self.n * self.keep:
             self.settle()
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What is kept, by query and place."""
         if self.count:
-            qi, key, offset = (np.concatenate(c) for c in zip(self.rows, *self.waiting, strict=True))
+            qi, key, offset, value = (np.concatenate(c) for c in zip(self.rows, *self.waiting, strict=True))
             order = np.lexsort((offset, -key, qi))
             qi, key, offset = qi[order], key[order], offset[order]
             place = np.arange(len(qi)) - np.searchsorted(qi, qi)
             last = place == self.keep - 1
             self.floor[qi[last]], self.edge[qi[last]] = key[last], offset[last]
-            self.rows = qi[place < self.keep], key[place < self.keep], offset[place < self.keep]
+            self.rows = tuple(c[place < self.keep] for c in (qi, key, offset, value[order]))
             self.waiting, self.count = [], 0
         return self.rows
 
@@ -213,7 +214,7 @@ def best_pairs(rows: DataFrame, queries: DataFrame, scorer: Callable, keep: int)
                 if not np.isfinite(b.floor).all():
                     b.settle()
         for a, b in best.items():
-            i, key, offset = b.settle()
+            i, key, offset, _ = b.settle()
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(qid[a + i], pa.int64()), pa.array(offset, pa.int64()), pa.array(np.where(key == np.inf, np.nan, key), mask=key == -np.inf)], ["qid", "offset", "sim"])
 

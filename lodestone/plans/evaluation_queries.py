@@ -41,7 +41,7 @@ def evaluate_summary(spark, sf_dir):
 def _judged(spark, sf_dir):
     """The first ten documents of each BM25 answer and grades from the labels, where a document has one."""
     found = bm25.search(bm25.index(text_queries.corpus(spark, sf_dir)), text_queries.passages(spark, sf_dir), 10)
-    found = found.select("qid", "rank", F.col("offset").alias("id"), "score")
+    found = found.select("qid", "rank", F.col("offset").alias("id"), "score").cache()  # ten rows a passage, met two or three times; the search runs once
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("grade"))
     return found, found.select("qid", "id").join(labels, "id").select("qid", "id", "grade")
 

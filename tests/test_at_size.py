@@ -119,3 +119,40 @@ def test_lists_are_searched_without_all_pairs(spark):
             lists = sorted(range(6), key=lambda c: (-float(index.centroids[c] @ x[i]), c))[:probes]
             inside = [o for o in ordered(x, x[i]) if at[o] in lists]
             assert got[i] == (inside if len(inside) >= limit else ordered(x, x[i]))[:limit]
+
+
+def test_bm25_by_batches_of_documents(spark, monkeypatch):
+    """Ranks and scores as the general way has them, whatever is held at once; nothing but the best rows is shuffled."""
+    from lodestone.operators import bm25
+
+    rng = np.random.default_rng(2)
+    text = [" ".join(f"w{int(w)}" for w in rng.zipf(1.6, 12) % 40) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t if i % 9 else None) for i, t in enumerate(text + text[:20])], "offset long, text string").repartition(2)
+    q = spark.createDataFrame([(i, text[i * 7] + " w1 w1 unheard") for i in range(9)] + [(9, "")], "qid long, text string")
+    for held in (2_000_000, 64):
+        monkeypatch.setattr(bm25, "SCORES", held)
+        for options in ({}, {"b": 0.0}):
+            for allowed in (None, docs.where("offset % 3 = 1")):
+                fast = bm25.search(bm25.index(docs), q, 5, allowed, **options)
+                assert fast._jdf.queryExecution().toString().count("MapInArrow") and not fast._jdf.queryExecution().toString().count("Explode")
+                every = bm25.scores(bm25.index(docs), q, **options)
+                every = every if allowed is None else every.join(allowed, "offset", "left_semi")
+                want = topk.rank_within(every, "qid", [F.round("score", 9).desc(), F.col("offset").asc()], 5)
+                shown = lambda df: {(r["qid"], r["rank"]): (r["offset"], round(r["score"], 9)) for r in df.collect()}
+                assert shown(fast) == shown(want) and len(shown(fast)) > 20
+    some = bm25.scores(bm25.index(docs), q, only=docs.where("offset < 9"))
+    assert {r["offset"] for r in some.collect()} <= set(range(9)) and some.count() == bm25.scores(bm25.index(docs), q).where("offset < 9").count()
+
+
+def test_equal_offsets_are_one_document(spark):
+    from lodestone.operators import bm25
+
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a")], "offset long, text string")
+    q = spark.createDataFrame([(0, "a b")], "qid long, text string")
+    assert not bm25.index(docs).by_document and answers(bm25.search(bm25.index(docs), q)) == {0: [1, 2]}
+
+
+def test_spark_rounds_halves_up():
+    from lodestone.operators import bm25
+
+    assert bm25._rounded(np.array([0.1234567885, 2.5e-10, 5e-10, 27.0])).tolist() == [0.123456789, 0.0, 1e-9, 27.0]
